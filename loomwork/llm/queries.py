@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, url_filter
+from . import chat, mixing, token_counts, toxicity, url_filter
 from .shared import table
 
 CLASHING = "<|im_end|><|im_start|>assistant ok"
@@ -29,10 +29,25 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chat(turns.union(extra)))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model).select("doc_id", "score", "predicted")
+    return scored.withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
     "op5_chat_format": op5_chat_format,
+    "op6_token_counts": op6_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {
