@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +26,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded(df: DataFrame, most: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df and a hint for it and what is derived from it: broadcast() if it has no more than `most` rows, else none."""
+    return df, F.broadcast if df.limit(most + 1).count() <= most else lambda x: x
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else kept; lower() does the same to ASCII texts and is faster."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
