@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, token_counts, toxicity, url_filter
+from . import chat, decontamination, mixing, near_dedup, token_counts, toxicity, url_filter
 from .shared import table
 
 CLASHING = "<|im_end|><|im_start|>assistant ok"
@@ -35,6 +35,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op5_chat_format": op5_chat_format,
     "op6_token_counts": op6_token_counts,
+    "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -17,13 +18,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_written: dict[int, str] = {}
+
+
+def _folder(spark: SparkSession) -> str:
+    """The shared folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if shared is None:
+        shared = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        context.setCheckpointDir(shared)
+    return f"{shared}/{context.applicationId}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    """df, written as a table to the shared folder and read again: its lineage is cut, lost executors cost nothing."""
+    path = _folder(df.sparkSession)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[id(out)] = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the table of a df of checkpointed() that nothing reads any more."""
+    if path := _written.pop(id(df), None):
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def bounded(df: DataFrame, most: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -57,7 +79,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        now = checkpointed(small.filter("u <> v").distinct())
+        old, now = now, checkpointed(small.filter("u <> v").distinct())
+        dropped(old)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -93,6 +116,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     return mixed((sums[ends] - sums[starts]) * down[starts] ^ (ends - starts).astype(np.uint64) << np.uint64(48))
 
 
+#: Bytes of words: ASCII letters and digits and all of UTF-8's longer characters; and A-Z to a-z.
+WORD_BYTES = np.array([chr(c).isalnum() if c < 128 else True for c in range(256)])
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    return _FOLD[data]
+
+
 def pieces(texts: list[str], most: int = 1 << 21) -> list[tuple[int, int]]:
     """Ranges of texts that hold about `most` bytes each, so that arrays over their bytes stay small."""
     out, first, size = [], 0, 0
