@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, near_dedup, token_counts, toxicity, url_filter
+from . import chat, decontamination, embedding_dedup, mixing, near_dedup, token_counts, toxicity, url_filter
 from .shared import table
 
 CLASHING = "<|im_end|><|im_start|>assistant ok"
@@ -35,6 +35,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.links(table(spark, sf_dir, "embeddings"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op5_chat_format": op5_chat_format,
     "op6_token_counts": op6_token_counts,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
@@ -104,6 +109,16 @@ ORACLE: dict[str, str] = {
             bool_and(fits) AND arg_max(role, n) IN ('user', 'assistant') AS valid
         FROM marked GROUP BY conv_id
     """,
+    "op7_embedding_dedup": r"""
+        WITH RECURSIVE good AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+        reach(id, r) AS (SELECT a, b FROM pairs UNION SELECT id, b FROM reach JOIN pairs ON r = a),
+        least AS (SELECT id, min(r) AS r FROM reach GROUP BY id),
+        degree AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(r, vec_id)) AS component_id, vec_id <= coalesce(r, vec_id) AS kept
+        FROM embeddings LEFT JOIN degree ON a = vec_id LEFT JOIN least ON id = vec_id
+    """,
     "op9_decontamination": r"""
         WITH said AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
         asked AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
