@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embedding_dedup, mixing, near_dedup, token_counts, toxicity, url_filter
+from . import chat, decontamination, embedding_dedup, mixing, near_dedup, pii, token_counts, toxicity, url_filter
 from .shared import table
 
 CLASHING = "<|im_end|><|im_start|>assistant ok"
@@ -22,6 +22,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.extract(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    base = F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select(F.col("_id").alias("doc_id"), *counts, base, pii.listed(F.concat("base", "added")).alias("spans"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(-1, 0, "user", CLASHING), (-1, 1, "assistant", CLASHING)]
     extra = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -59,6 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
+    "op3_pii": op3_pii,
     "op5_chat_format": op5_chat_format,
     "op6_token_counts": op6_token_counts,
     "op7_embedding_dedup": op7_embedding_dedup,
