@@ -26,9 +26,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def ranked(df: DataFrame, column: str) -> DataFrame:
+def ranked(df: DataFrame, *columns: str) -> DataFrame:
     """Rows with rank, 0 for the first by code point, null last: a range partitioning and an offset for each partition, no task sees all rows."""
-    key = [F.col(column).isNull(), F.col(column)]
+    key = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
     sorted_ = df.repartitionByRange(max(1, df.sparkSession.sparkContext.defaultParallelism), *key).sortWithinPartitions(*key)
     sorted_ = checkpointed(sorted_.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % (1 << 33)))
     offset, pairs = 0, []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embedding_dedup, mixing, near_dedup, pii, token_counts, toxicity, url_filter
+from . import chat, decontamination, embedding_dedup, mixing, near_dedup, pii, suffix_dedup, token_counts, toxicity, url_filter
 from .shared import table
 
 CLASHING = "<|im_end|><|im_start|>assistant ok"
@@ -30,6 +30,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), *counts, base, pii.listed(F.concat("base", "added")).alias("spans"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.find_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(-1, 0, "user", CLASHING), (-1, 1, "assistant", CLASHING)]
     extra = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
     "op3_pii": op3_pii,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_token_counts": op6_token_counts,
     "op7_embedding_dedup": op7_embedding_dedup,
