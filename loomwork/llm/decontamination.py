@@ -93,7 +93,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, n: int = 13, key: str = "
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, n_words, n_hit, items, contaminated), one for each row of docs. A document is contaminated if at least one word in `share` is hit."""
+    """Rows (key, n_words, n_hit, items, contaminated, row_hash), one for each row of docs. A document is contaminated if at least one word in `share` is hit."""
     found = checkpointed(occurrences(docs, benchmark, n, key, text))
     covered = found.select("_id", "_h", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("w") - 1)).alias("pos")).distinct()
     hits = covered.groupBy("_id", "_h").agg(F.count("*").alias("n_hit"))
@@ -102,7 +102,14 @@ def judge(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, k
     rows = keyed(docs, key, text).select("_id", "_h", F.size(raw_words(F.col("_text"))).cast("long").alias("n_words"))
     out = rows.alias("a").join(hits.alias("b"), same(rows, hits, ["_id", "_h"]), "left")
     hit = F.coalesce("n_hit", F.lit(0))
-    return out.select(F.col("a._id").alias(key), "n_words", hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"))
+    return out.select(F.col("a._id").alias(key), "n_words", hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"), F.col("a._h").alias("row_hash"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", most: int = 500_000, **options) -> DataFrame:
+    """docs, with all columns, without the contaminated ones."""
+    found = judge(docs, benchmark, key=key, text=text, **options).filter("contaminated")
+    gone, hint = bounded(checkpointed(found.select(F.col(key).alias("_id"), F.col("row_hash").alias("_h")).distinct()), most)
+    return docs.join(hint(gone), docs[key].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[key], docs[text]) == F.col("_h")), "left_anti")
 
 
 def near_phrases(docs: DataFrame, phrases: DataFrame, slack: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:

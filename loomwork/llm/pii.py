@@ -213,8 +213,9 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
     """docs, each find in its text replaced by its kind in angle brackets; overlapping ones by the kind of the first."""
     found = extract(docs, key=key, text=text, **options).select("_id", "_h", F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("_spans"))
     found, hint = bounded(checkpointed(found.filter(F.size("_spans") > 0).distinct()), most)
+    names = docs.columns
     own = docs.withColumn("_row", F.xxhash64(F.col(key), F.col(text)))
-    both = own.join(hint(found), own["_row"].eqNullSafe(found["_h"]) & own[key].eqNullSafe(found["_id"]), "left").select(*[own[c] for c in docs.columns], "_spans")
+    both = own.join(hint(found), own["_row"].eqNullSafe(found["_h"]) & own[key].eqNullSafe(found["_id"]), "left").select(*[own[c] for c in names], "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -228,7 +229,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
                         end = max(end, s["end"])
                     said = "".join([*out, said[end:]])
                 texts.append(said)
-            columns = [pa.array(texts, pa.string()) if c == text else x.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            columns = [pa.array(texts, pa.string()) if c == text else x.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return both.mapInArrow(run, docs.schema)

@@ -103,6 +103,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> tuple[np.ndar
     return train([r[0] for r in rows], [r[1] for r in rows])
 
 
+def _scores(texts: list[str], weights: np.ndarray, bias: float, offending: list[list] | None, threshold: float = 0.5) -> np.ndarray:
+    scores = np.zeros(len(texts))
+    for a, b in pieces(texts) if np.isfinite(bias) else []:
+        words, sentence, text, start, end = features(texts[a:b])
+        z = _chances(weights, bias, words, sentence, len(text))
+        scores[a:b] = -np.expm1(np.bincount(text, -np.logaddexp(0, z), b - a))
+        if offending is not None:
+            p = 1 / (1 + np.exp(-z))
+            for i in np.flatnonzero(p >= threshold):
+                offending[a + text[i]].append({"start": int(start[i]), "end": int(end[i]), "p": float(p[i])})
+    return scores
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """docs' key with score, predicted and offending (bounds in bytes of the sentences of at least threshold, and their probability)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -112,15 +125,21 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id",
         weights, bias = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            scores, offending = np.zeros(len(texts)), [[] for _ in texts]
-            for a, b in pieces([t or "" for t in texts]) if np.isfinite(bias) else []:
-                words, sentence, text, start, end = features(texts[a:b])
-                z = _chances(weights, bias, words, sentence, len(text))
-                scores[a:b] = -np.expm1(np.bincount(text, -np.logaddexp(0, z), b - a))
-                p = 1 / (1 + np.exp(-z))
-                for i in np.flatnonzero(p >= threshold):
-                    offending[a + text[i]].append({"start": int(start[i]), "end": int(end[i]), "p": float(p[i])})
+            offending = [[] for _ in texts]
+            scores = _scores([t or "" for t in texts], weights, bias, offending, threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(offending, places)], [key, "score", "predicted", "offending"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, score double, predicted int, offending array<struct<start: long, end: long, p: double>>")
+
+
+def reject(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """docs, with all columns, without the texts whose score is at least the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array(_scores([t or "" for t in batch.column(text).to_pylist()], weights, bias, None) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
