@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: a text is toxic if any of its sentences is.
 
-A sentence's probability is the logistic of the summed weights of its words, a text's the noisy-or of its
+A sentence's probability is the logistic of the summed weights of its words and their beginnings, a text's the noisy-or of its
 sentences. The weights are trained from labels of texts alone, by the gradient of the texts' likelihood, on a
 bounded sample of labelled texts; the sentences that raise a text's score are then located by their own
 probability. Scoring is a scan: nothing is shuffled.
@@ -19,21 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces, span_hashes
+from .shared import WORD_BYTES, folded, pieces, span_hashes
 
 FEATURES = 1 << 20
-_KIND = np.zeros(256, np.uint8)  # 0 part of a word, 1 between words, 2 between sentences
-_KIND[:128] = 1
-for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789":
-    _KIND[_c] = 0
-for _c in b".!?\n":
-    _KIND[_c] = 2
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
+#: Beside a whole word its first 4, 5 and 6 bytes are features.
+PREFIXES = (4, 5, 6)
+_KIND = np.where(WORD_BYTES, 0, 1).astype(np.uint8)  # 0 part of a word, 1 between words, 2 between sentences
+_KIND[list(b".!?\n")] = 2
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """word features, the sentence of each word, the text of each sentence, byte bounds of each sentence in its text."""
+    """features, the sentence of each feature, the text of each sentence, byte bounds of each sentence in its text."""
     parts = [(t or "").encode() for t in texts]
     sizes = np.array([len(p) + 1 for p in parts], np.int64)
     first = np.concatenate([[0], np.cumsum(sizes)])
@@ -42,48 +38,60 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     inside = kind == 0
     edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
     starts, ends = edges[::2], edges[1::2]
-    words = (span_hashes(_FOLD[data], starts, ends) & np.uint64(FEATURES - 1)).astype(np.int32)
+    low = folded(data)
     stops = np.flatnonzero(kind == 2)
     number = np.searchsorted(stops, starts)  # runs of text between stops
     used, sentence = np.unique(number, return_inverse=True)
     text = np.searchsorted(first, stops[used], side="right") - 1 if len(used) else np.zeros(0, np.int64)
     begin = np.where(used > 0, stops[np.maximum(used - 1, 0)] + 1, 0) if len(used) else np.zeros(0, np.int64)
     begin = np.maximum(begin, first[text]) if len(used) else begin
-    return words, sentence.astype(np.int32), text, begin - first[text], stops[used] - first[text] if len(used) else begin
+    sentence = sentence.astype(np.int32)
+    words, owners = [span_hashes(low, starts, ends)], [sentence]
+    for n in PREFIXES:  # words alike but for their endings share these
+        longer = np.flatnonzero(ends - starts > n)
+        words.append(span_hashes(low, starts[longer], starts[longer] + n))
+        owners.append(sentence[longer])
+    words = (np.concatenate(words) & np.uint64(FEATURES - 1)).astype(np.int32)
+    return words, np.concatenate(owners), text, begin - first[text], stops[used] - first[text] if len(used) else begin
 
 
 def _chances(weights: np.ndarray, bias: float, words: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
     return bias + np.bincount(sentence, weights[words], n)
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 200, least: int = 4, decay: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and bias. Words in fewer than `least` texts bear no weight."""
+def train(texts: list[str], labels: list[int], rounds: int = 600, least: int = 4, lift: float = 4, decay: float = 1e-5, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and bias. Only features in at least `least` texts of label 1 bear weight, and of these such as are `lift` times as likely to have it as all texts (or in nine of ten)."""
     y = np.array(labels, bool)
     if y.all() or not y.any():
         return np.zeros(FEATURES, np.float32), -np.inf
-    found, at_s, at_t = [], 0, 0
-    for a, b in pieces(texts):
+    seen = np.zeros((2, FEATURES), np.int64)
+    parts = pieces(texts)
+    for a, b in parts:
         words, sentence, text, _, _ = features(texts[a:b])
-        found.append((words, sentence + at_s, (text + at_t).astype(np.int32)))
-        at_s, at_t = at_s + len(text), at_t + b - a
-    words, sentence, text = (np.concatenate([x[i] for x in found]) for i in range(3))
-    seen = np.unique(words.astype(np.int64) * len(y) + text[sentence]) // len(y)
-    kept = np.flatnonzero(np.bincount(seen, minlength=FEATURES) >= least)
+        once = np.unique(text[sentence] * FEATURES + words)
+        bad = y[a + once // FEATURES]
+        seen += [np.bincount(once[bad == x] % FEATURES, minlength=FEATURES) for x in (False, True)]
+    kept = np.flatnonzero((seen[1] >= least) & (seen[1] >= min(0.9, lift * y.mean()) * seen.sum(axis=0)))
     column = np.full(FEATURES, -1, np.int32)
     column[kept] = np.arange(len(kept))
-    f = column[words]
-    f, s = f[f >= 0], sentence[f >= 0]
-    pairs = np.unique(s.astype(np.int64) * (len(kept) + 1) + f)  # a word counts once a sentence
-    s, f = (pairs // (len(kept) + 1)).astype(np.int32), (pairs % (len(kept) + 1)).astype(np.int32)
+    fs, ss, ts, at = [], [], [], 0
+    for a, b in parts:
+        words, sentence, text, _, _ = features(texts[a:b])
+        f = column[words]
+        fs.append(f[f >= 0])
+        ss.append(sentence[f >= 0] + np.int32(at))
+        ts.append((text + a).astype(np.int32))
+        at += len(text)
+    f, s, text = np.concatenate(fs), np.concatenate(ss), np.concatenate(ts)
     x, n = np.zeros(len(kept) + 1), len(text)
     x[-1] = -5
     m, v = np.zeros_like(x), np.zeros_like(x)
     for i in range(1, rounds + 1):
-        z = x[-1] + np.bincount(s, x[:-1][f], n)
-        p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        z = np.clip(x[-1] + np.bincount(s, x[:-1][f], n), -50, 50)
+        p = 1 / (1 + np.exp(-z))
         none = np.exp(np.bincount(text, -np.logaddexp(0, z), len(y)))
         g = p * np.where(y, -none / np.maximum(1 - none, 1e-9), 1.0)[text] / len(y)
-        grad = np.append(np.bincount(f, g[s], len(kept)) + decay * x[:-1] / 10, g.sum())
+        grad = np.append(np.bincount(f, g[s], len(kept)) + decay * x[:-1], g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         x -= rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-7)
     weights = np.zeros(FEATURES, np.float32)
@@ -95,12 +103,12 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> tuple[np.ndarray, float]:
     """Trains on at most `sample` labelled texts that aren't held out, those first in the order of a hash: so many texts reach the driver, whatever the corpus."""
     known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("_y"))
     known = known.withColumn("_o", F.xxhash64(F.lit(3), "doc_id")).orderBy("_o").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").filter("text is not null").orderBy("_o").limit(sample).select("text", "_y").collect()
-    return train([r[0] for r in rows], [r[1] for r in rows])
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").filter("text is not null").orderBy("_o").limit(sample).select("text", "_y").toArrow()
+    return train(rows["text"].to_pylist(), rows["_y"].to_pylist())
 
 
 def _scores(texts: list[str], weights: np.ndarray, bias: float, offending: list[list] | None, threshold: float = 0.5) -> np.ndarray:
@@ -110,7 +118,7 @@ def _scores(texts: list[str], weights: np.ndarray, bias: float, offending: list[
         z = _chances(weights, bias, words, sentence, len(text))
         scores[a:b] = -np.expm1(np.bincount(text, -np.logaddexp(0, z), b - a))
         if offending is not None:
-            p = 1 / (1 + np.exp(-z))
+            p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             for i in np.flatnonzero(p >= threshold):
                 offending[a + text[i]].append({"start": int(start[i]), "end": int(end[i]), "p": float(p[i])})
     return scores
