@@ -62,7 +62,7 @@ def _chances(weights: np.ndarray, bias: float, words: np.ndarray, sentence: np.n
 def train(texts: list[str], labels: list[int], rounds: int = 600, least: int = 4, lift: float = 4, decay: float = 1e-5, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias. Only features in at least `least` texts of label 1 bear weight, and of these such as are `lift` times as likely to have it as all texts (or in nine of ten)."""
     y = np.array(labels, bool)
-    if y.all() or not y.any():
+    if not len(y) or y.all() or not y.any():
         return np.zeros(FEATURES, np.float32), -np.inf
     seen = np.zeros((2, FEATURES), np.int64)
     parts = pieces(texts)
@@ -104,11 +104,27 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> tuple[np.ndarray, float]:
-    """Trains on at most `sample` labelled texts that aren't held out, those first in the order of a hash: so many texts reach the driver, whatever the corpus."""
+    """Trains on at most `sample` labelled texts that aren't held out, those first in the order of a hash: so many texts reach one task, whatever the corpus; the driver gets the weights that aren't zero."""
     known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("_y"))
     known = known.withColumn("_o", F.xxhash64(F.lit(3), "doc_id")).orderBy("_o").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").filter("text is not null").orderBy("_o").limit(sample).select("text", "_y").toArrow()
-    return train(rows["text"].to_pylist(), rows["_y"].to_pylist())
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").filter("text is not null").orderBy("_o").limit(sample).select("text", "_y")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels_ = [], []
+        for x in batches:
+            texts += x.column(0).to_pylist()
+            labels_ += x.column(1).to_pylist()
+        weights, bias = train(texts, labels_)
+        at = np.flatnonzero(weights)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([bias, *weights[at].tolist()], pa.float64())], ["feature", "weight"])
+
+    weights, bias = np.zeros(FEATURES, np.float32), -np.inf
+    for feature, weight in rows.coalesce(1).mapInArrow(learn, "feature long, weight double").collect():
+        if feature < 0:
+            bias = max(bias, weight)
+        else:
+            weights[feature] = weight
+    return weights, bias
 
 
 def _scores(texts: list[str], weights: np.ndarray, bias: float, offending: list[list] | None, threshold: float = 0.5) -> np.ndarray:
