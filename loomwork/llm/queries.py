@@ -37,8 +37,9 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(-1, 0, "user", CLASHING), (-1, 1, "assistant", CLASHING)]
-    extra = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    # Two literal rows as a plan of its own: createDataFrame would deal them out from Python.
+    said = F.array(*[F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(CLASHING).alias("text")) for i, role in enumerate(["user", "assistant"])])
+    extra = spark.range(1).select(F.inline(said))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digest(chat.format_chat(turns.union(extra)))
 
