@@ -10,9 +10,10 @@ PROPER = r"[A-Z][A-Za-z'\-]*(?:\s+[A-Z][A-Za-z'\-]*){0,2}"
 CJK_RUN = r"[぀-ヿ一-鿿]+"
 
 
-def latin_terms(units: DataFrame, text: str = "original") -> DataFrame:
-    """Rows (term, n): capitalised terms of at least three characters in texts of at most 400."""
-    found = units.filter(F.length(text).between(1, 400)).select(F.explode(F.regexp_extract_all(text, F.lit(PROPER), F.lit(0))).alias("term"))
+def latin_terms(units: DataFrame, text: str = "original", longest: int | None = None) -> DataFrame:
+    """Rows (term, n): capitalised terms of at least three characters; longest: the length above which texts are left out, the reference's 400 for interface strings."""
+    some = units if longest is None else units.filter(F.length(text) <= longest)
+    found = some.select(F.explode(F.regexp_extract_all(text, F.lit(PROPER), F.lit(0))).alias("term"))
     return found.filter(F.length("term") >= 3).groupBy("term").agg(F.count("*").alias("n"))
 
 
@@ -27,9 +28,9 @@ def cjk_terms(units: DataFrame, text: str = "original") -> DataFrame:
     return grams.groupBy("term").agg(F.count("*").alias("n")).withColumn("kana", F.col("term").rlike(r"[぀-ヿ]"))
 
 
-def candidates(units: DataFrame, least: int = 3, most: int = 300) -> DataFrame:
+def candidates(units: DataFrame, least: int = 3, most: int = 300, longest: int | None = None) -> DataFrame:
     """Rows (term, n): the most frequent terms, those alike but for case as one, in its most frequent form. A top-k: no task sorts all."""
-    forms = latin_terms(units)
+    forms = latin_terms(units, longest=longest)
     merged = forms.groupBy(F.lower("term").alias("k")).agg(F.max_by("term", F.struct("n", "term")).alias("term"), F.sum("n").alias("n"))
     return merged.filter(F.col("n") >= least).select("term", "n").orderBy(F.desc("n"), "term").limit(most)
 

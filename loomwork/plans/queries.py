@@ -151,12 +151,27 @@ def glossary_relevant_topk(spark, sf_dir):
 
 @register(f"WITH {_UNITS} SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(original, '[A-Z][A-Za-z''\\-]*(?:\\s+[A-Z][A-Za-z''\\-]*){{0,2}}')) AS term FROM units WHERE length(original) <= 400) WHERE length(term) >= 3 GROUP BY term")
 def latin_term_counts(spark, sf_dir):
-    return terms.latin_terms(units_of(spark, sf_dir))
+    return terms.latin_terms(units_of(spark, sf_dir), longest=400)
 
 
 @register(f"""WITH {_UNITS}, forms AS (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(original, '[A-Z][A-Za-z''\\-]*(?:\\s+[A-Z][A-Za-z''\\-]*){{0,2}}')) AS term FROM units WHERE length(original) <= 400) WHERE length(term) >= 3 GROUP BY term)
     SELECT arg_max(term, ROW(n, term)) AS term, CAST(sum(n) AS BIGINT) AS n FROM forms GROUP BY lower(term) HAVING sum(n) >= 3 ORDER BY n DESC, term LIMIT 300""")
 def term_candidates_topk(spark, sf_dir):
+    return terms.candidates(units_of(spark, sf_dir), longest=400)
+
+
+_FORMS = r"forms AS (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(original, '[A-Z][A-Za-z''\-]*(?:\s+[A-Z][A-Za-z''\-]*){0,2}')) AS term FROM units) WHERE length(term) >= 3 GROUP BY term)"
+
+
+@register(f"WITH {_UNITS}, {_FORMS} SELECT term, n FROM forms")
+def latin_term_counts_whole(spark, sf_dir):
+    """latin_term_counts over units of every length."""
+    return terms.latin_terms(units_of(spark, sf_dir))
+
+
+@register(f"WITH {_UNITS}, {_FORMS} SELECT arg_max(term, ROW(n, term)) AS term, CAST(sum(n) AS BIGINT) AS n FROM forms GROUP BY lower(term) HAVING sum(n) >= 3 ORDER BY n DESC, term LIMIT 300")
+def term_candidates_whole(spark, sf_dir):
+    """term_candidates_topk over units of every length."""
     return terms.candidates(units_of(spark, sf_dir))
 
 

@@ -46,6 +46,13 @@ def test_terms(spark):
     assert kana["ギルド"] and not kana["公会"] and len(kana) == 7
 
 
+def test_terms_of_long_texts(spark):
+    lines = spark.createDataFrame([("x " * 300 + "met Candy Corn",), ("see Candy Corn",)], "original string")
+    assert {r.term: r.n for r in terms.latin_terms(lines).collect()} == {"Candy Corn": 2}
+    assert {r.term: r.n for r in terms.latin_terms(lines, longest=400).collect()} == {"Candy Corn": 1}
+    assert [r.n for r in terms.candidates(lines, least=2).collect()] == [2]
+
+
 def test_sources(spark):
     srt = "1\r\n00:00:01 --> 00:00:02\r\nHello\r\nthere\r\n\r\n2\r\n00:00:03 --> 00:00:04\r\nBye"
     files = spark.createDataFrame([("a", srt)], "path string, text string")
