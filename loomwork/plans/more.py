@@ -67,6 +67,17 @@ def export_incremental(spark, sf_dir):
     return write_back.export_plan(listing(keys.filter("k % 2 = 0"), 5.25), listing(keys.filter("k % 3 = 0"), 9.0), listing(keys.filter("k % 5 = 0"), 5.75))
 
 
+@register("""WITH l AS (SELECT l_orderkey AS k, count(*) AS n, CAST(max(l_linenumber) AS BIGINT) AS last FROM lineitem GROUP BY l_orderkey),
+    w AS (SELECT o_orderkey AS k, coalesce(n, o_custkey % 7) AS size, CASE WHEN n IS NULL THEN 5 ELSE 9 END AS mtime, CASE WHEN n IS NULL THEN 'base' ELSE 'over' END AS side, last FROM orders LEFT JOIN l ON k = o_orderkey)
+    SELECT CAST(k AS VARCHAR) AS rel, CAST(size AS BIGINT) AS size, CAST(mtime AS BIGINT) AS mtime, side FROM w WHERE last IS NULL OR size <> last""")
+def export_incremental_whole(spark, sf_dir):
+    """All orders, under those that have lines; present: what the last line's number says."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"), F.max("l_linenumber").alias("last"))
+    listing = lambda df, key, size, time: df.select(F.col(key).cast("string").alias("rel"), size.cast("long").alias("size"), F.lit(time).alias("mtime"))
+    base = listing(table(spark, sf_dir, "orders"), "o_orderkey", F.col("o_custkey") % 7, 5.25)
+    return write_back.export_plan(base, listing(lines, "k", F.col("n"), 9.0), listing(lines, "k", F.col("last"), 9.75))
+
+
 @register("""WITH f AS (SELECT substr(coalesce(text, ''), 1, 12) AS stem, sha1(coalesce(text, '')) AS content_hash, min(doc_id) AS seq FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY seq) AS nth FROM f)
     SELECT stem, content_hash, CASE WHEN nth = 1 THEN stem ELSE stem || '-' || nth END AS name FROM r""")
 def repository_insert(spark, sf_dir):

@@ -203,8 +203,10 @@ _MEMORY = "counted AS (SELECT original, target, count(*) AS n, min(seq) AS f FRO
 _PACKAGE = "package AS (SELECT doc_id AS seq, doc_id AS uid, coalesce(text, '') AS original, lang || '/' || source AS target FROM documents WHERE doc_id % 2 = 0)"
 
 
-def package_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0")
+def package_of(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """A package of documents; without whole it lacks the uids that are odd."""
+    docs = table(spark, sf_dir, "documents")
+    docs = docs if whole else docs.filter("doc_id % 2 = 0")
     return docs.select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("uid"), F.coalesce("text", F.lit("")).alias("original"), F.concat("lang", F.lit("/"), "source").alias("target"))
 
 
@@ -213,6 +215,12 @@ def tm_most_common(spark, sf_dir):
     return reconcile.memory(package_of(spark, sf_dir))
 
 
+@register(f"WITH package AS (SELECT doc_id AS seq, coalesce(text, '') AS original, lang || '/' || source AS target FROM documents), {_MEMORY} SELECT * FROM memory")
+def tm_most_common_whole(spark, sf_dir):
+    """tm_most_common over all documents."""
+    return reconcile.memory(package_of(spark, sf_dir, whole=True))
+
+
 @register(f"""WITH {_PACKAGE}, {_MEMORY}, u AS (SELECT doc_id AS uid, coalesce(text, '') AS original, CASE WHEN doc_id % 10 = 1 THEN 'done' END AS target FROM documents)
     SELECT u.uid, CASE WHEN u.target IS NOT NULL THEN 'kept' WHEN p.target IS NOT NULL THEN 'uid' WHEN m.target IS NOT NULL THEN 'memory' ELSE 'missed' END AS how, coalesce(u.target, p.target, m.target) AS filled
     FROM u LEFT JOIN package p ON p.uid = u.uid LEFT JOIN memory m ON m.original = u.original""")
@@ -228,6 +236,14 @@ def export_overlay(spark, sf_dir):
     return reconcile.overlay(orders.filter("o_orderkey % 2 = 0"), orders.filter("o_orderkey % 3 = 0"), "o_orderkey", "o_orderstatus")
 
 
+@register("""SELECT coalesce(b.k, o_orderkey) AS o_orderkey, coalesce(b.status, o_orderstatus) AS o_orderstatus, CASE WHEN b.k IS NULL THEN 'base' WHEN o_orderkey IS NULL THEN 'new' ELSE 'over' END AS side
+    FROM orders FULL JOIN (SELECT l_orderkey AS k, max(l_linestatus) AS status FROM lineitem GROUP BY l_orderkey) b ON o_orderkey = b.k""")
+def export_overlay_whole(spark, sf_dir):
+    """All orders under what all their lines say."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linestatus").alias("o_orderstatus"))
+    return reconcile.overlay(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), lines, "o_orderkey", "o_orderstatus")
+
+
 _FEATURES = lambda rows: ", ".join(f"('{n}', [{', '.join(repr(x.lower()) for x in f)}])" for n, f in rows)
 
 
@@ -237,6 +253,17 @@ def fingerprint_verdicts(spark, sf_dir):
     return reconcile.fingerprint_verdicts(spark.createDataFrame(GAMES, "game string, features array<string>"), spark.createDataFrame(PACKAGES, "package string, features array<string>"))
 
 
+@register("""WITH g AS (SELECT o_custkey AS game, o_orderkey AS f FROM orders), p AS (SELECT DISTINCT l_suppkey || '/' || CAST(l_shipdate AS DATE) AS package, l_orderkey AS f FROM lineitem),
+    total AS (SELECT package, count(*) AS n FROM p GROUP BY package), shared AS (SELECT game, package, count(*) AS n FROM g JOIN p USING (f) GROUP BY game, package)
+    SELECT game, package, CASE WHEN shared.n = total.n THEN 'match' ELSE 'partial' END AS verdict FROM shared JOIN total USING (package)""")
+def fingerprint_verdicts_whole(spark, sf_dir):
+    """Customers by their orders, a supplier's day by the orders that it delivers to."""
+    key = lambda c: F.array(F.col(c).cast("string")).alias("features")
+    games = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("game"), key("o_orderkey"))
+    packages = table(spark, sf_dir, "lineitem").select(F.concat_ws("/", "l_suppkey", F.col("l_shipdate").cast("date")).alias("package"), key("l_orderkey"))
+    return reconcile.fingerprint_verdicts(games, packages)
+
+
 @register("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rank, count(*) OVER () AS total FROM documents),
     s AS (SELECT *, greatest(1, CAST(floor(total * 0.1) AS BIGINT)) AS n FROM r)
     SELECT doc_id FROM s WHERE ceil(CAST(rank AS DOUBLE) * n / total) < n AND floor(ceil(CAST(rank AS DOUBLE) * n / total) * (CAST(total AS DOUBLE) / n)) = rank""")

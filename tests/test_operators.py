@@ -69,6 +69,19 @@ def test_budget_trim(spark):
     assert got == {1}
 
 
+def test_whole_tables_are_read(spark):
+    import __spark_entry__
+
+    folder, queries = "/root/testdata/sf0.001", __spark_entry__.queries()
+    read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+    memory = {r.original for r in queries["tm_most_common_whole"](spark, folder).collect()}
+    assert memory == {r.text for r in read("documents").filter("text <> ''").collect()}
+    assert queries["export_overlay_whole"](spark, folder).count() == read("orders").count()
+    games = {r.game for r in queries["fingerprint_verdicts_whole"](spark, folder).collect()}
+    lines = read("lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    assert games == {r.o_custkey for r in read("orders").join(lines, "o_orderkey", "left_semi").collect()}
+
+
 def test_every_own_query_runs(spark):
     import __spark_entry__
 
