@@ -124,6 +124,9 @@ def near_phrases(docs: DataFrame, phrases: DataFrame, slack: int = 3, key: str =
     for q in range(1, longest):
         then = listed.filter(F.col("q") == q).drop("n", "q")
         near = (F.col("b.pos") > F.col("a.end")) & (F.col("b.pos") <= F.col("a.end") + 1 + slack)
-        now = now.alias("a").join(then.alias("b"), [*same(now, then, ["_id", "_h", "_i"]), near]).groupBy("a._id", "a._h", "a._i", "a.n", "a.start").agg(F.min("b.pos").alias("end"))
+        now = now.alias("a").join(then.alias("b"), [*same(now, then, ["_id", "_h", "_i"]), near]).select("a._id", "a._h", "a._i", "a.n", "a.start", F.col("b.pos").alias("end")).distinct()
+        # All ends of a start go on: a later one may be the only one from which the next word is in reach.
+        now = checkpointed(now)
         out = out.union(now.filter(F.col("n") == q + 1))
+    out = out.groupBy("_id", "_h", "_i", "start").agg(F.min("end").alias("end"))
     return out.join(items.select("_i", "item"), "_i").select("_id", "item", "start", "end").distinct()

@@ -315,6 +315,26 @@ def test_near_phrases(spark):
     assert [(r["_id"], r.start, r.end) for r in decontamination.near_phrases(df, bench).collect()] == [(1, 0, 5)]
 
 
+def test_near_phrases_with_repeated_terms(spark):
+    r = random.Random(5)
+    items = [(1, "red green blue"), (2, "red red blue red"), (3, "green")]
+    texts = [(1, "red green y y green y y blue"), *[(i, " ".join(r.choices(["red", "green", "blue", "y"], [2, 2, 1, 4], k=25))) for i in range(2, 12)]]
+    want = set()
+    for i, text in texts:
+        words = text.split()
+        for item, phrase in items:
+            terms = phrase.split()
+            for start in range(len(words)):
+                ends = {start} if words[start] == terms[0] else set()
+                for term in terms[1:]:
+                    ends = {p for end in ends for p in range(end + 1, min(len(words), end + 5)) if words[p] == term}
+                if ends:
+                    want.add((i, item, start, min(ends)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert (1, 1, 0, 7) in want
+    assert {(x["_id"], x.item, x.start, x.end) for x in decontamination.near_phrases(docs_of(spark, texts), bench).collect()} == want
+
+
 # 10 toxicity
 
 
