@@ -1,12 +1,14 @@
 """Personal data by bootstrapped contextual extraction.
 
 Seeds are what four base patterns find in whole texts: e-mail addresses, IP addresses, card numbers (Luhn) and
-phone numbers. The lexical pattern of a find is the pair of tokens before it. Patterns that stand before at least
-`support` different seeds are looked up in all texts again: what follows them forms a graph of patterns and
-instances. Spark scores it in rounds: a pattern's score for a kind is the sum of its different instances' scores
-over all that follows it, ordinary words included; an instance's score is 1 for a seed and else the noisy-or of
-its patterns. Tokens with a digit or an @ that follow a pattern of at least `confidence` are finds of its kind.
-Ordinary contexts are mostly followed by ordinary words, so they never get there.
+phone numbers. A find's lexical patterns are the two tokens before it, the one before it, the two before that one
+(a gap of one token) and the two behind it. Patterns that stand at no fewer than `support` different seeds are
+looked up in all texts again: what stands there forms a graph of patterns and instances. Spark scores it in rounds:
+a pattern's score for a kind is the sum of its different instances' scores over all different things that stand
+there, ordinary words included; an instance's score is 1 for a seed and else the noisy-or of its patterns. Tokens
+with a digit or an @ at a pattern of at least `confidence` are finds of its kind; those of cards and phone numbers
+go on over further groups of digits, with the blanks, hyphens and brackets that the kind has. Ordinary contexts are
+mostly followed by ordinary words, so they never get there. Copies of a text add nothing to a score.
 
 A token is a run of letters, digits and . - _ @ + %, or a run of other signs; A-Z are lower-cased in patterns.
 Base matches are leftmost and don't overlap within a kind; those that fail the kind's check are dropped without
@@ -19,7 +21,6 @@ are ignored, an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")  # a match in the
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CLASS = np.array([0 if c in b" \t\n\v\f\r\0" else 1 if c >= 128 or chr(c).isalnum() or chr(c) in ".-_@+%" else 2 for c in range(256)], np.uint8)
+#: The tokens of a context by their places from the find's first token (the last RIGHT: from its last): the pair before, the one before, a pair with a gap, the pair after.
+_PLACES = [(-2, -1), (-1, -1), (-3, -2), (1, 2)]
+SIDES, RIGHT = len(_PLACES), 3
+#: Least length of a find of the method: characters, of cards and phone numbers digits.
+LEAST = [3, 3, 4, 3]
+_NUMBER = re.compile(r"[0-9]+(?:[.-][0-9]+)*")
+_LEAD = re.compile(r"[(\[][0-9]+[)\]]?")
+_EDGE = r"(?![0-9]*[A-Za-z_@+%])"
+#: Further groups of digits of a kind, behind a group and before one.
+_BETWEEN = {k: (re.compile(rf"{x}[0-9]+(?:[.-][0-9]+)*{_EDGE}(?![0-9])"), re.compile(rf"(?<![A-Za-z0-9_@+%.-])[0-9]+(?:[.-][0-9]+)*{x}\Z")) for k, x in ((2, r"[ -]"), (3, r"(?: ?- ?|[)\]][ -]?| ?\(| )"))}
 _LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -75,8 +86,8 @@ def _instance(text: str) -> int:
     return int(span_hashes(np.frombuffer(text.encode(), np.uint8), np.array([0]), np.array([len(text.encode())])).view(np.int64)[0])
 
 
-def contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: text, start and end in code points, the hash of the two tokens before it (0: fewer), the number of its code points that are digits or @ (0 for signs)."""
+def contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: text, start and end in code points, the hashes of its contexts (SIDES of them, 0: fewer tokens), its own hash, the number of its code points that are digits or @ (0 for signs)."""
     parts = [t.encode() for t in texts]
     first = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])]).astype(np.int64)
     data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
@@ -88,93 +99,155 @@ def contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     starts, ends = starts[kept], ends[kept]
     h = span_hashes(folded(data), starts, ends)
     doc = np.searchsorted(first, starts, side="right") - 1
-    before = np.zeros(len(h), np.uint64)
-    if len(h) > 2:
-        before[2:] = mixed(mixed(h[:-2]) + h[1:-1]) | np.uint64(1)
-        before[2:][doc[:-2] != doc[2:]] = 0
+    around = np.zeros((SIDES, len(h)), np.uint64)
+    for side, (i, j) in enumerate(_PLACES):
+        lo, hi = max(0, -i, -j), len(h) - max(0, i, j)
+        if lo < hi:
+            a, b = h[lo + i : hi + i], h[lo + j : hi + j]
+            one = doc[lo + i : hi + i] == doc[lo:hi]
+            same_text = one & (doc[lo + j : hi + j] == doc[lo:hi])
+            own = mixed(mixed(a) + b if i != j else a) & ~np.uint64(7) | np.uint64(2 * side + 1)
+            around[side, lo:hi] = np.where(same_text, own, 0)
     signs = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57) | (data == 64))])
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     origin = points[first[:-1]][doc]
     some = np.where(kind[starts] == 1, signs[ends] - signs[starts], 0)
-    return doc, points[starts] - origin, points[ends] - origin, before.view(np.int64), some
+    return doc, points[starts] - origin, points[ends] - origin, around.view(np.int64), h.view(np.int64), some
 
 
 def _seeds(rows: DataFrame) -> DataFrame:
-    """_id, _h, spans (kind, start, end, ctx, inst)."""
-    kinds = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("ctx", pa.int64()), ("inst", pa.int64())])
+    """_id, _h, spans (kind, start, end, ctx (one of each side), inst)."""
+    kinds = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("ctx", pa.list_(pa.int64())), ("inst", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
             out = []
             for text in texts:
-                spans = base_spans(text)
-                place = {}
+                spans, found = base_spans(text), []
                 if spans:
-                    _, start, _, ctx, _ = contexts([text])
-                    place = dict(zip(start.tolist(), ctx.tolist(), strict=True))
-                out.append([{"kind": k, "start": a, "end": b, "ctx": place.get(a, 0), "inst": _instance(text[a:b].lower())} for k, a, b in spans])
+                    _, start, _, around, _, _ = contexts([text])
+                for k, a, b in spans:
+                    i, last = np.searchsorted(start, a), np.searchsorted(start, b) - 1
+                    before = around[:RIGHT, i] if i < len(start) and start[i] == a else np.zeros(RIGHT, np.int64)
+                    found.append({"kind": k, "start": a, "end": b, "ctx": [*before.tolist(), *around[RIGHT:, last].tolist()], "inst": _instance(text[a:b].lower())})
+                out.append(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(kinds))], ["_id", "_h", "spans"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, _h long, spans array<struct<kind: int, start: int, end: int, ctx: long, inst: long>>")
+    return rows.mapInArrow(run, f"_id {kind}, _h long, spans array<struct<kind: int, start: int, end: int, ctx: array<long>, inst: long>>")
+
+
+def _groups(text: str, a: int, b: int, most: int, between: re.Pattern, others: list[tuple[int, int, int]], back: bool) -> tuple[int, int]:
+    """The span of the groups of digits from (a, b) on, or before it if back, that lie whole between others and have at most `most` digits."""
+    digits = sum(c.isdigit() for c in text[a:b])
+    while True:
+        if back:
+            m = between[1].search(text, max(0, a - 40), a)
+            c, d = (m.start(), b) if m else (a, b)
+            added = text[c:a]
+        else:
+            m = between[0].match(text, b)
+            c, d = (a, m.end()) if m else (a, b)
+            added = text[b:d]
+        digits += sum(x.isdigit() for x in added)
+        if not m or digits > most or any(s[1] < d and s[2] > c for s in others):
+            return a, b
+        a, b = c, d
+
+
+def extents(text: str, start: int, end: int, others: list[tuple[int, int, int]], back: bool = False) -> list[tuple[int, int]]:
+    """A find's (start, end) for each kind, of the token (start, end) behind a pattern, or before it if back; (0, 0) if it's none. Numbers go on over groups of digits as the kind's base pattern allows."""
+    b = start + len(text[start:end].rstrip(".-_@+%"))
+    plain = (start, b) if b - start >= LEAST[0] and _SIGNS.search(text, start, b) and not any(s[1] < b and s[2] > start for s in others) else (0, 0)
+    out = [plain, plain]
+    for kind, most in ((2, 19), (3, 15)):
+        lead = _LEAD.match(text, start, start + 40) if kind == 3 and not back and text[start] in "([" else None
+        a, b = (start, lead.end()) if lead else (start, start + len(text[start:end].rstrip(".-_@+%")))
+        if not any(s[1] < b and s[2] > a for s in others) and (lead or _NUMBER.fullmatch(text, a, b)):
+            a, b = _groups(text, a, b, most, _BETWEEN[kind], others, back)
+            if back and kind == 3 and a and text[a - 1] == "(" and ")" in text[a:b]:
+                a -= 1
+            if text.count("(", a, b) > text.count(")", a, b) and text[b : b + 1] == ")":
+                b += 1
+            out.append((a, b) if sum(c.isdigit() for c in text[a:b]) >= LEAST[kind] else (0, 0))
+        else:
+            out.append(plain)
+    return out
 
 
 def _followers(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """What follows the wanted contexts: identifiers with their places (n = 1), ordinary words as numbers (inst null)."""
+    """What stands at the wanted contexts: identifiers with their places (kind -1 for what isn't a seed; spans: one for each kind), ordinary words without (kind -2), once for each context in a task as long as it remembers them."""
     shared = rows.sparkSession.sparkContext.broadcast(np.sort(wanted))
-    names = ["_id", "_h", "ctx", "inst", "kind", "start", "end", "n"]
+    names = ["_id", "_h", "ctx", "inst", "kind", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         table = np.zeros(1 << 16, bool)
-        table[known & 0xFFFF] = True
+        table[known >> 16 & 0xFFFF] = True
+        told = np.zeros(0, np.uint64)
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
-            found, plain = [], Counter()
-            for lo, hi in pieces(texts):
-                doc, start, end, ctx, some = contexts(texts[lo:hi])
-                near = np.flatnonzero(table[ctx & 0xFFFF] & (ctx != 0))
-                near = near[known[np.minimum(np.searchsorted(known, ctx[near]), len(known) - 1)] == ctx[near]]
-                like = some[near] > 0
-                for c, n in zip(*np.unique(ctx[near[~like]], return_counts=True), strict=True):
-                    plain[int(c)] += int(n)
+            for lo, hi in pieces(texts, 1 << 20):
+                found, plain = [], []
+                doc, start, end, around, h, some = contexts(texts[lo:hi])
                 spans: dict[int, list] = {}
-                for i in near[like].tolist():
-                    d, a, b = int(doc[i]), int(start[i]), int(end[i])
-                    text = texts[lo + d]
-                    own = spans[d] if d in spans else spans.setdefault(d, base_spans(text))
-                    if base := [s for s in own if s[1] == a]:
-                        for k, _, e in base:
-                            found.append((lo + d, int(ctx[i]), _instance(text[a:e].lower()), k, a, e))
-                    else:
-                        b = a + len(text[a:b].rstrip(".-_@+%"))
-                        if b - a >= 5 and not any(s[1] < b and s[2] > a for s in own):
-                            found.append((lo + d, int(ctx[i]), _instance(text[a:b].lower()), -1, a, b))
-            n = len(found)
-            at, c, i, k, a, b = zip(*found, strict=True) if found else [()] * 6
-            none = [None] * len(plain)
-            yield pa.RecordBatch.from_arrays([
-                pa.concat_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.nulls(len(plain), batch.column(0).type)]), pa.concat_arrays([batch.column(1).take(pa.array(at, pa.int64())), pa.nulls(len(plain), pa.int64())]),
-                pa.array([*c, *plain], pa.int64()), pa.array([*i, *none], pa.int64()), pa.array([*k, *none], pa.int32()), pa.array([*a, *none], pa.int32()), pa.array([*b, *none], pa.int32()), pa.array([*[1] * n, *plain.values()], pa.int64()),
-            ], names)
+                known_extents: dict[tuple[int, bool], list] = {}
+                for side, ctx in enumerate(around):
+                    near = np.flatnonzero(table[ctx >> 16 & 0xFFFF] & (ctx != 0))
+                    near = near[known[np.minimum(np.searchsorted(known, ctx[near]), len(known) - 1)] == ctx[near]]
+                    usual = []
+                    for i in near[(some[near] > 0) | (end[near] - start[near] < 3)].tolist():
+                        d, a, b, c = int(doc[i]), int(start[i]), int(end[i]), int(ctx[i])
+                        text = texts[lo + d]
+                        if some[i] == 0 and not _LEAD.match(text, a):
+                            usual.append(i)
+                            continue
+                        own = spans[d] if d in spans else spans.setdefault(d, base_spans(text))
+                        if base := [s for s in own if (s[1] == a if side < RIGHT else s[1] <= a < s[2] <= b)]:
+                            found += [(lo + d, c, _instance(text[s[1] : s[2]].lower()), s[0], None) for s in base]
+                            continue
+                        if (place := (i, side >= RIGHT)) not in known_extents:
+                            known_extents[place] = extents(text, a, b, own, side >= RIGHT)
+                        each = known_extents[place]
+                        if ends := [x for x in each if x[1]]:
+                            p, q = min(ends)[0], max(x[1] for x in ends)
+                            found.append((lo + d, c, _instance(text[p:q].lower()), -1, each))
+                        elif not any(s[1] < b and s[2] > a for s in own):
+                            usual.append(i)
+                    usual = np.concatenate([near[(some[near] == 0) & (end[near] - start[near] >= 3)], np.array(usual, np.int64)])
+                    plain.append(np.unique(np.stack([ctx[usual], h[usual]]), axis=1))
+                plain = np.concatenate(plain, axis=1)
+                pair, first = np.unique(mixed(plain[0].view(np.uint64)) + plain[1].view(np.uint64), return_index=True)
+                new = ~np.isin(pair, told, assume_unique=True)
+                plain = plain[:, first[new]]
+                told = np.concatenate([told if len(told) < 1_000_000 else told[:0], pair[new]])
+                at, c, i, k, x = zip(*found, strict=True) if found else [()] * 5
+                n = plain.shape[1]
+                marked = np.array([y is not None for y in x], bool)
+                flat = np.array([y for y in x if y is not None], np.int32).reshape(-1, 2)
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(marked, len(KINDS), 0))]).astype(np.int32), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start", "end"]))
+                own = [pa.concat_arrays([batch.column(j).take(pa.array(at, pa.int64())), pa.nulls(n, batch.column(j).type)]) for j in (0, 1)]
+                numbers = [pa.concat_arrays([pa.array(y, t), pa.array(z, t)]) for y, z, t in ((c, plain[0], pa.int64()), (i, plain[1], pa.int64()), (k, np.full(n, -2, np.int32), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*own, *numbers, pa.concat_arrays([lists, pa.nulls(n, lists.type)])], names)
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, _h long, ctx long, inst long, kind int, start int, end int, n long")
+    return rows.mapInArrow(run, f"_id {kind}, _h long, ctx long, inst long, kind int, spans array<struct<start: int, end: int>>")
 
 
 def score_patterns(edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """Rows (ctx, kind, score) of edges (ctx, inst, kind, n): kind -1 for what isn't a seed, inst null for n ordinary words."""
-    graph = checkpointed(edges.filter("inst is not null").groupBy("ctx", "inst").agg(F.max("kind").alias("kind")))
-    plain = edges.filter("inst is null").groupBy("ctx").agg(F.sum("n").alias("plain"))
+    """Rows (ctx, kind, score) of edges (ctx, inst, kind): kind -1 for what isn't a seed, -2 for ordinary words. Copies count once, ordinary words too."""
+    graph = checkpointed(edges.filter("kind > -2").groupBy("ctx", "inst").agg(F.max("kind").alias("kind")))
+    plain = edges.filter("kind = -2").select("ctx", "inst").distinct().groupBy("ctx").agg(F.count("*").alias("plain"))
     size = checkpointed(graph.groupBy("ctx").agg(F.count("*").alias("different")).join(plain, "ctx", "left").select("ctx", (F.col("different") + F.coalesce("plain", F.lit(0))).alias("size")))
     fixed = graph.filter("kind >= 0").groupBy("ctx", "kind").agg(F.count("*").cast("double").alias("mass"))
     scores = fixed.join(size, "ctx").select("ctx", "kind", (F.col("mass") / F.col("size")).alias("score"))
-    open_ = graph.filter("kind < 0").select("ctx", "inst")
+    open_ = graph.filter("kind = -1").select("ctx", "inst")
     for _ in range(rounds):
         scores = checkpointed(scores)
         sure = F.lit(1.0) - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))
-        guessed = open_.join(scores, "ctx").groupBy("inst", "kind").agg(sure.alias("s"))
+        # The sides of one place aren't independent: noisy-or within a side, the largest of the sides.
+        guessed = open_.join(scores, "ctx").groupBy("inst", "kind", F.col("ctx").bitwiseAND(7).alias("side")).agg(sure.alias("s")).groupBy("inst", "kind").agg(F.max("s").alias("s"))
         more = open_.join(guessed, "inst").groupBy("ctx", "kind").agg(F.sum("s").alias("mass"))
         scores = fixed.union(more).groupBy("ctx", "kind").agg(F.sum("mass").alias("mass")).join(size, "ctx").select("ctx", "kind", (F.col("mass") / F.col("size")).alias("score"))
     return checkpointed(scores)
@@ -184,7 +257,7 @@ def extract(docs: DataFrame, support: int = 5, confidence: float = 0.8, rounds:
     """Rows (_id, _h, base, added), one for each row of docs; base, added: arrays of (kind, start, end), kind as the index in KINDS. most bounds the number of patterns looked up at once."""
     rows = keyed(docs, key, text)
     seeds = checkpointed(_seeds(rows))
-    marks = seeds.select(F.explode("spans").alias("s")).select("s.ctx", "s.inst").filter("ctx <> 0")
+    marks = seeds.select(F.explode("spans").alias("s")).select(F.explode("s.ctx").alias("ctx"), "s.inst").filter("ctx <> 0")
     wanted = checkpointed(marks.distinct().groupBy("ctx").agg(F.count("*").alias("n")).filter(F.col("n") >= support).select("ctx"))
     n = wanted.count()
     plain = seeds.select("_id", "_h", F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"))
@@ -198,7 +271,8 @@ def extract(docs: DataFrame, support: int = 5, confidence: float = 0.8, rounds:
     edges = checkpointed(edges)
     good = score_patterns(edges, rounds).filter(F.col("score") >= confidence)
     best = good.groupBy("ctx").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("k"))
-    new = edges.filter("kind < 0").join(best, "ctx").groupBy("_id", "_h").agg(F.array_sort(F.collect_set(F.struct(F.col("k").alias("kind"), "start", "end"))).alias("added"))
+    hits = edges.filter("kind = -1").join(best, "ctx").select("_id", "_h", "k", F.get("spans", F.col("k")).alias("s")).filter("s.end > s.start")
+    new = hits.groupBy("_id", "_h").agg(F.array_sort(F.collect_set(F.struct(F.col("k").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end")))).alias("added"))
     out = plain.alias("a").join(new.alias("b"), same(plain, new, ["_id", "_h"]), "left")
     return out.select("a._id", "a._h", "base", F.coalesce("added", F.array().cast("array<struct<kind: int, start: int, end: int>>")).alias("added"))
 

@@ -102,6 +102,36 @@ def test_pii_patterns_find_more(spark):
     assert not added[21] and not added[22]
 
 
+def test_pii_finds_of_several_tokens(spark):
+    texts = [(i, f"{prose(i, 20)} call us: +1 523 555 {1000 + i} {prose(i + 1, 20)}") for i in range(12)]
+    more = ["523 555 1055", "(523) 555-1055", "123456 7890", "523"]
+    texts += [(20 + i, f"call us: {t} now") for i, t in enumerate(more)]
+    added = {x["_id"]: x.added for x in pii.extract(docs_of(spark, texts)).collect()}
+    assert [[(s.kind, s.start, s.end) for s in added[20 + i]] for i in range(4)] == [[(3, 9, 9 + len(t))] for t in more]
+    assert not any(added[i] for i in range(12))
+    out = {x.doc_id: x.text for x in pii.redact(docs_of(spark, texts)).collect()}
+    assert {out[20 + i] for i in range(4)} == {"call us: <phone> now"}
+
+
+def test_pii_shorter_gapped_and_right_contexts(spark):
+    email = lambda i: f"p{i}@mail.example.com"
+    texts = [(i, f"{prose(i, 9)} mailto {email(i)} {prose(50 + i, 9)}") for i in range(8)]
+    texts += [(100 + i, f"{prose(100 + i, 9)} write to v{i} {email(200 + i)} {prose(150 + i, 9)}") for i in range(8)]
+    texts += [(300 + i, f"{prose(300 + i, 9)} {email(400 + i)} answers letters {prose(350 + i, 9)}") for i in range(8)]
+    more = ["z mailto user77 z", "write to anna user77 z", "z q user77 answers letters"]
+    texts += [(20 + i, t) for i, t in enumerate(more)]
+    added = {x["_id"]: x.added for x in pii.extract(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(more):
+        assert [(s.kind, s.start, s.end) for s in added[20 + i]] == [(0, t.index("user77"), t.index("user77") + 6)]
+
+
+def test_pii_copies_of_ordinary_words(spark):
+    texts = [(i, f"{prose(i, 20)} reach me: p{i}@mail.example.com {prose(i + 1, 20)}") for i in range(12)]
+    texts += [(20, "reach me: user77 at once"), *[(100 + i, "reach me: soon") for i in range(500)]]
+    added = {x["_id"]: x.added for x in pii.extract(docs_of(spark, texts)).collect()}
+    assert [(s.kind, s.start, s.end) for s in added[20]] == [(0, 10, 16)]
+
+
 # 4 suffix dedup
 
 
