@@ -1,4 +1,6 @@
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +71,22 @@ def test_budget_trim(spark):
     assert got == {1}
 
 
+def test_budget_trim_puts_one_delta_in_order(spark):
+    r = random.Random(4)
+    data = [(g, i, r.choice([-5, 0, 3, 7, 7, 40])) for i, g in enumerate(["hot"] * 300 + ["a"] * 20 + [None] * 9)]
+    rows = spark.createDataFrame(data, "g string, k int, d int")
+    want = set()
+    for g in ("hot", "a", None):
+        left = sum(d for h, _, d in data if h == g)
+        for _, k, d in sorted((x for x in data if x[0] == g), key=lambda x: (-x[2], x[1])):
+            want |= {k} if d > 0 and left > 25 else set()
+            left -= d
+    trimmed = ordered.budget_trim(rows, "g", "d", "k", 25)
+    assert {x.k for x in trimmed.filter("dropped").collect()} == want and trimmed.count() == len(data)
+    keys = re.findall(r"Window \[.*?\], \[([^\]]*)\]", trimmed._jdf.queryExecution().executedPlan().toString())
+    assert keys and all("_g" in x for x in keys)  # no window over the rows of a group as they are
+
+
 def test_whole_tables_are_read(spark):
     import __spark_entry__
 
