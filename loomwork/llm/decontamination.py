@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, bounded, checkpointed
+from .shared import ascii_lower, bounded, checkpointed, rowed
 
 #: What lies between words, before and after A-Z are lower-cased: ASCII other than letters and digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -106,10 +106,15 @@ def judge(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, k
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", most: int = 500_000, **options) -> DataFrame:
-    """docs, with all columns, without the contaminated ones."""
+    """docs, with all columns, without the contaminated ones.
+
+    Null and empty texts stay; rows that repeat a key are judged by their own texts, null keys too. Columns may have any
+    names. An empty table gives no rows, an empty benchmark takes nothing out.
+    """
     found = judge(docs, benchmark, key=key, text=text, **options).filter("contaminated")
     gone, hint = bounded(checkpointed(found.select(F.col(key).alias("_id"), F.col("row_hash").alias("_h")).distinct()), most)
-    return docs.join(hint(gone), docs[key].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[key], docs[text]) == F.col("_h")), "left_anti")
+    own = F.col("row").getField(key), F.col("row").getField(text)
+    return rowed(docs).join(hint(gone), own[0].eqNullSafe(F.col("_id")) & (F.xxhash64(*own) == F.col("_h")), "left_anti").select("row.*")
 
 
 def near_phrases(docs: DataFrame, phrases: DataFrame, slack: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -11,12 +11,16 @@ candidates, and candidates are linked if their similarity, computed from their t
 Classes are the connected components. Each node is compared with the heads of its bands' buckets first. Of the
 other pairs of a head only those are looked at that are in different classes and that two bounds leave open: near
 the head they have to share a shingle which the head lacks or be short; far from it they can't be linked to what is
-linked to the head. Buckets of more than `crowd` nodes that are left are split by agreement in two bands, which
-takes apart what merely shares a common passage. Nothing is emitted for all pairs of copies.
+linked to the head. In buckets with more than `crowd` nodes left, candidates have to share one of their rarest
+shingles as well: of n shingles the n - ceil(threshold * n) + 1 rarest, one of which any two sets above the threshold
+share. That is exact and takes apart what merely shares a common passage (with weighting "count" all pairs are
+candidates there). Nothing is emitted for all pairs of copies. Before texts are read, pairs that agree in fewer
+registers than six standard deviations below the threshold's mean are left out: one pair in 10**8 at 0.8 exactly.
 
 Null texts and texts without words have no shingles and are classes of their own. Rows that repeat a doc_id are
 judged by their own texts. A row with a null doc_id takes part; a class of such rows has a null class_id. Other
-columns are ignored, an empty table gives no rows.
+columns are ignored whatever their names, an empty table gives no rows. Texts are worked on by slices of a few hundred
+kilobytes; one text of any length is one slice.
 """
 
 from __future__ import annotations
@@ -26,10 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .decontamination import same
-from .shared import WORD_BYTES, bounded, checkpointed, components, dropped, folded, mixed, pieces, span_hashes
+from .shared import WORD_BYTES, bounded, checkpointed, components, dropped, folded, mixed, rowed, slices, span_hashes
 
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
@@ -92,30 +97,26 @@ def registers(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
     return out
 
 
-def _node(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each text's shingles and weights, and the number of shingles."""
-    sums = np.zeros(n, _U)
+def _node(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each text's shingles and weights, and the number of shingles."""
+    sums = np.zeros((2, n), _U)
     count = np.bincount(doc, minlength=n)
     if len(doc):
         at = np.flatnonzero(count)
-        sums[at] = np.add.reduceat(mixed(mixed(shingle) + weight.astype(_U)), (np.cumsum(count) - count)[at])
-    return mixed(sums + count.astype(_U)).view(np.int64), count
+        begin = (np.cumsum(count) - count)[at]
+        for own, salt in zip(sums, (_U(0), _U(0x5851F42D4C957F2D)), strict=True):
+            own[at] = np.add.reduceat(mixed(mixed(shingle ^ salt) + weight.astype(_U)), begin)
+    return *(mixed(x + count.astype(_U)).view(np.int64) for x in sums), count
 
 
-def _ranges(texts: list[str]) -> Iterator[tuple[int, int]]:
-    for a, b in pieces(texts):
-        yield from ((i, min(b, i + 60_000)) for i in range(a, b, 60_000))
-
-
-def sketches(docs: DataFrame, key: str, text: str, size: int, weighting: str) -> DataFrame:
-    """Rows (_id, _h, node, bands, marks) of texts with shingles; _h: a hash of key and text, marks: a byte for each register."""
+def sketches(said: DataFrame, size: int, weighting: str) -> DataFrame:
+    """Rows (_id, _h, h1, h2, bands, marks) of said (_id, _text) with shingles; _h: a hash of both, h1 and h2: two hashes of the shingles, marks: a byte for each register."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in _ranges(texts):
-                found = shingles(texts[a:b], size, weighting)
-                node, count = _node(*found, b - a)
+            for a, b, texts in slices(batch.column(1)):
+                found = shingles(texts, size, weighting)
+                h1, h2, count = _node(*found, b - a)
                 has = np.flatnonzero(count)
                 kept = registers(*found, b - a)[has]
                 bands = np.zeros((len(has), BANDS), _U) + np.arange(BANDS, dtype=_U)
@@ -123,13 +124,14 @@ def sketches(docs: DataFrame, key: str, text: str, size: int, weighting: str) ->
                     bands = mixed(bands + kept[:, i::ROWS])
                 marks = np.ascontiguousarray(mixed(kept).astype(np.uint8)).reshape(-1)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a).take(pa.array(has)), batch.column(2).slice(a, b - a).take(pa.array(has)), pa.array(node[has]),
+                    batch.column(0).slice(a, b - a).take(pa.array(has)), batch.column(2).slice(a, b - a).take(pa.array(has)), pa.array(h1[has]), pa.array(h2[has]),
                     pa.ListArray.from_arrays(np.arange(len(has) + 1, dtype=np.int32) * BANDS, pa.array(bands.view(np.int64).reshape(-1))),
                     pa.FixedSizeBinaryArray.from_buffers(pa.binary(REGISTERS), len(has), [None, pa.py_buffer(marks)]).cast(pa.binary()),
-                ], ["_id", "_h", "node", "bands", "marks"])
+                ], ["_id", "_h", "h1", "h2", "bands", "marks"])
+                del found, kept, bands, marks
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text, F.xxhash64(key, text).alias("_h")).mapInArrow(run, f"_id {kind}, _h long, node long, bands array<long>, marks binary")
+    kind = said.schema["_id"].dataType.simpleString()
+    return said.select("_id", "_text", F.xxhash64("_id", "_text").alias("_h")).mapInArrow(run, f"_id {kind}, _h long, h1 long, h2 long, bands array<long>, marks binary")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -163,40 +165,66 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1 / ((only_a + below) / wa + (only_b + above) / wb)).sum())
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str, size: int, weighting: str, threshold: float, most: int) -> DataFrame:
-    """Pairs (a, b) of nodes with their similarity j; of near ones (weights of 1) also a's shingles: their number n, those in common with b, the others."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids, hint = bounded(checkpointed(nodes.join(used, "node", "left_semi").select("_id", "node")), most)
+def _texts(used: DataFrame, said: DataFrame, nodes: DataFrame, size: int, weighting: str, most: int) -> DataFrame:
+    """Rows (node, text), one for each node of used."""
+    ids, hint = bounded(checkpointed(nodes.join(used.select("node").distinct(), "node", "left_semi").select("_id", "h1", "h2", "node")), most)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            texts = [t or "" for t in x.column(0).to_pylist()]
-            for a, b in _ranges(texts):
-                node, _ = _node(*shingles(texts[a:b], size, weighting), b - a)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(texts[a:b])], ["node", "text"])
+            for a, b, texts in slices(x.column(0)):
+                h1, h2, _ = _node(*shingles(texts, size, weighting), b - a)
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(texts)], ["h1", "h2", "text"])
 
     picked = hint(ids.select(F.col("_id").alias("_k")).distinct())
-    texts = docs.join(picked, docs[key].eqNullSafe(F.col("_k")), "left_semi").select(F.col(text).alias("text")).mapInArrow(named, "node long, text string")
-    texts = checkpointed(texts.join(hint(ids.select("node")), "node", "left_semi"))
+    texts = said.join(picked, F.col("_id").eqNullSafe(F.col("_k")), "left_semi").select("_text").mapInArrow(named, "h1 long, h2 long, text string")
+    return checkpointed(texts.join(hint(ids.select("h1", "h2", "node")), ["h1", "h2"]).select("node", "text").dropDuplicates(["node"]))
+
+
+def _compared(pairs: DataFrame, said: DataFrame, nodes: DataFrame, size: int, weighting: str, threshold: float, most: int) -> DataFrame:
+    """Pairs (a, b) of nodes with their similarity j; of near ones (weights of 1) also a's shingles: their number n, those in common with b, the others."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), said, nodes, size, weighting, most)
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            out: list[tuple] = []
-            for ta, tb in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
-                doc, shingle, weight = shingles([ta, tb], size, weighting)
-                cut = np.searchsorted(doc, 1)
-                j = similarity((shingle[:cut], weight[:cut]), (shingle[cut:], weight[cut:]))
-                near = weighting == "set" and j >= 2 * threshold - 1
-                added = np.setdiff1d(shingle[:cut], shingle[cut:], assume_unique=True).view(np.int64) if near else []
-                out.append((j, cut, cut - len(added) if near else 0, near, added))
-            j, n, common, near, added = zip(*out, strict=True) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([*x.columns[:2], pa.array(j, pa.float64()), pa.array(n, pa.int64()), pa.array(common, pa.int64()), pa.array(near, pa.bool_()), pa.array(added, pa.list_(pa.int64()))], ["a", "b", "j", "n", "common", "near", "added"])
+            for i, k, tas in slices(x.column(2)):
+                out: list[tuple] = []
+                for ta, tb in zip(tas, x.column(3).slice(i, k - i), strict=True):
+                    doc, shingle, weight = shingles([ta, tb.as_py()], size, weighting)
+                    cut = np.searchsorted(doc, 1)
+                    j = similarity((shingle[:cut], weight[:cut]), (shingle[cut:], weight[cut:]))
+                    near = weighting == "set" and j >= 2 * threshold - 1
+                    added = np.setdiff1d(shingle[:cut], shingle[cut:], assume_unique=True).view(np.int64) if near else []
+                    out.append((j, cut, cut - len(added) if near else 0, near, added))
+                j, n, common, near, added = zip(*out, strict=True)
+                ids = [x.column(c).slice(i, k - i) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(j, pa.float64()), pa.array(n, pa.int64()), pa.array(common, pa.int64()), pa.array(near, pa.bool_()), pa.array(added, pa.list_(pa.int64()))], ["a", "b", "j", "n", "common", "near", "added"])
 
     return both.mapInArrow(judged, "a long, b long, j double, n long, common long, near boolean, added array<long>")
 
 
+def _rarest(nodes_: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Rows (bucket, node, label, far) of nodes_ (node, label, far): the nodes by their rarest shingles, so many that two sets of at least the threshold share one."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for a, b, said in slices(x.column(1)):
+                doc, shingle, _ = shingles(said, size)
+                n = np.bincount(doc, minlength=b - a)
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(shingle.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([x.column(0).slice(a, b - a), lists], ["node", "s"])
+
+    all_ = checkpointed(texts.mapInArrow(listed, "node long, s array<long>"))
+    # A shingle that only one node has is rarer than all others and shared with none: its number counts, not itself.
+    common = all_.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("c")).filter("c > 1")
+    held = all_.select("node", F.explode("s").alias("s")).join(common, "s")
+    ordered = held.withColumn("rank", F.row_number().over(W.partitionBy("node").orderBy("c", "s"))).withColumn("shared", F.count("*").over(W.partitionBy("node")))
+    n = all_.select("node", F.size("s").alias("n"))
+    kept = ordered.join(n, "node").filter(F.col("rank") <= F.col("shared") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
+    return checkpointed(kept.select("node", F.col("s").alias("bucket")).join(nodes_, "node").select("bucket", "node", "label", "far"))
+
+
 def _crossing(buckets: DataFrame, crowd: int | None) -> tuple[DataFrame, DataFrame]:
     """Pairs of nodes of different classes that share a bucket, one of them far from its head (rows bucket, node, label, far), and the rows of larger buckets."""
     sizes = checkpointed(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("far").alias("far")).filter("low <> high and far").select("bucket", "n"))
@@ -230,11 +258,11 @@ def _around(near: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, weighting: str = "set", key: str = "doc_id", text: str = "text", crowd: int = 48, most: int = 500_000) -> DataFrame:
-    """Rows (key, class_id, kept, row_hash), one for each row of docs. class_id: the smallest key of the class; kept: whether the row has it. weighting: "set" or "count". most bounds the rows of a broadcast table."""
-    found = checkpointed(sketches(docs, key, text, size, weighting))
-    ids = checkpointed(found.groupBy("node").agg(F.min("_id").alias("_id")))
-    nodes = checkpointed(found.withColumnRenamed("_id", "_of").join(ids, "node").filter(F.col("_of").eqNullSafe(F.col("_id"))).select("node", "_id", "bands", "marks").dropDuplicates(["node"]))
-    members = found.select("_id", "_h", "node")
+    """Rows (key, class_id, kept, row_hash), one for each row of docs. class_id: the smallest key of the class; kept: whether the row has it. weighting: "set" or "count". most bounds the rows of a broadcast table; crowd is the size above which buckets are taken apart by rare shingles."""
+    said = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    found = checkpointed(sketches(said, size, weighting))
+    nodes = checkpointed(found.groupBy("h1", "h2").agg(F.min("_id").alias("_id"), F.first("bands").alias("bands"), F.first("marks").alias("marks")).withColumn("node", F.monotonically_increasing_id()))
+    members = checkpointed(found.select("_id", "_h", "h1", "h2").join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("_id", "_h", "node"))
 
     # A bucket's head is its node with the most company in all its buckets: the text that the others derive from.
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -246,7 +274,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, weig
     held = held.select("bucket", "node").join(heads, "bucket").filter("node <> head")
 
     def compare(pairs: DataFrame) -> DataFrame:
-        return checkpointed(_compared(pairs, docs, nodes, key, text, size, weighting, threshold, most))
+        return checkpointed(_compared(pairs, said, nodes, size, weighting, threshold, most))
 
     stars = compare(checkpointed(held.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()))
     links = stars.filter(F.col("j") >= threshold).select("a", "b")
@@ -258,22 +286,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, weig
     # Far from the head: those below 2 * threshold - 1 can't be linked to what is linked to the head, as 1 - j is a metric.
     apart = judged.filter(F.col("j") < threshold) if weighting == "set" else judged
     shared = checkpointed(held.join(apart.select("node", "head", "label", (~F.col("near")).alias("far")), ["node", "head"]).select("bucket", "node", "label", "far"))
-    more, large = _crossing(shared, crowd)
+    more, large = _crossing(shared, crowd if weighting == "set" else None)
     pairs = pairs.union(more)
     if large.limit(1).count():
-        inside = large.groupBy("node").agg(F.min("label").alias("label"), F.max("far").alias("far")).join(nodes.select("node", "bands"), "node")
-        twos = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 2)), lambda i: F.transform(F.sequence(i + 1, F.lit(BANDS - 1)), lambda j: F.xxhash64(F.get("bands", i), F.get("bands", j)))))
-        more, _ = _crossing(checkpointed(inside.select("node", "label", "far", F.explode(twos).alias("bucket"))), None)
+        inside = checkpointed(large.groupBy("node").agg(F.min("label").alias("label"), F.max("far").alias("far")))
+        more, _ = _crossing(_rarest(inside, _texts(inside, said, nodes, size, weighting, most), size, threshold), None)
         pairs = pairs.union(more)
     more = compare(checkpointed(_alike(pairs.distinct(), nodes, threshold))).filter(F.col("j") >= threshold).select("a", "b")
     if more.limit(1).count():
         labels = checkpointed(components(links.union(more).toDF("u", "v")))
 
-    classed = members.join(labels, "node", "left").select("_id", F.coalesce("component", "node").alias("label"))
-    least = checkpointed(classed.groupBy("label").agg(F.min("_id").alias("class_id")))
-    named = checkpointed(ids.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("label")).join(least, "label").select("node", "class_id"))
+    least = checkpointed(members.join(labels, "node", "left").select("_id", F.coalesce("component", "node").alias("label")).groupBy("label").agg(F.min("_id").alias("class_id")))
+    named = checkpointed(nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("label")).join(least, "label").select("node", "class_id"))
     out = members.join(named, "node").select("_id", "_h", "class_id")
-    rows = docs.select(F.col(key).alias("_id"), F.xxhash64(key, text).alias("_h"))
+    rows = said.select("_id", F.xxhash64("_id", "_text").alias("_h"))
     alone = rows.alias("a").join(found.select("_id", "_h").distinct().alias("b"), same(rows, found, ["_id", "_h"]), "left_anti")
     out = out.union(alone.select("_id", "_h", F.col("_id").alias("class_id")))
     for df in (shared, heads, sizes, company):
@@ -282,9 +308,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, weig
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 500_000, **options) -> DataFrame:
-    """docs, with all columns, without the texts that aren't the first of their class; of rows alike in key and text one stays."""
+    """docs, with all columns, without the texts that aren't the first of their class; of rows alike in key and text one stays.
+
+    Null texts and texts without words stay, as classes of their own. Of a class the row of the smallest key stays (a
+    null key only if the class has no other). Columns may have any names, an empty table gives no rows.
+    """
     found = checkpointed(near_duplicates(docs, key=key, text=text, most=most, **options).select(F.col(key).alias("_id"), F.col("row_hash").alias("_h"), "kept"))
     gone, hint = bounded(found.filter("not kept").select("_id", "_h").distinct(), most)
-    out = docs.join(hint(gone), docs[key].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[key], docs[text]) == F.col("_h")), "left_anti")
+    own = F.col("row").getField(key), F.col("row").getField(text)
+    out = rowed(docs).join(hint(gone), own[0].eqNullSafe(F.col("_id")) & (F.xxhash64(*own) == F.col("_h")), "left_anti").select("row.*")
     repeated = found.filter("kept").groupBy("_id", "_h").count().filter("count > 1").limit(1).count()
     return out.dropDuplicates([key, text]) if repeated else out

@@ -1,21 +1,28 @@
 """Personal data by bootstrapped contextual extraction.
 
-Seeds are what four base patterns find in whole texts: e-mail addresses, IP addresses, card numbers (Luhn) and
-phone numbers. A find's lexical patterns are the two tokens before it, the one before it, the two before that one
-(a gap of one token) and the two behind it. Patterns that stand at no fewer than `support` different seeds are
-looked up in all texts again: what stands there forms a graph of patterns and instances. Spark scores it in rounds:
-a pattern's score for a kind is the sum of its different instances' scores over all different things that stand
-there, ordinary words included; an instance's score is 1 for a seed and else the noisy-or of its patterns. Tokens
-with a digit or an @ at a pattern of at least `confidence` are finds of its kind; those of cards and phone numbers
-go on over further groups of digits, with the blanks, hyphens and brackets that the kind has. Ordinary contexts are
-mostly followed by ordinary words, so they never get there. Copies of a text add nothing to a score.
+Seeds are what four base patterns find in whole texts (e-mail addresses, IP addresses, card numbers that pass Luhn,
+phone numbers) and, of a fifth kind, strings that look random: tokens of 16 and more letters and digits that change
+into each other four times. A seed's lexical patterns are the two tokens before it, the one before it, the two before
+that one (a gap of one token) and the two behind it, of random ones also their first four letters. Patterns that
+stand at no fewer than `support` different seeds are looked up in all texts: what stands there forms a graph of
+patterns and instances. Spark scores it in rounds: a pattern's score for a kind is the sum of its different
+instances' scores over all different things that stand there, ordinary words included; an instance's score is 1 for
+a seed and else the noisy-or of its patterns. Tokens with a digit or an @ at a pattern of at least `confidence` are
+finds of its kind; those of cards and phone numbers go on over further groups of digits, with the blanks, hyphens
+and brackets that the kind has. What is found counts as a seed in the next cycle: other patterns at its places are
+looked up as well, for `cycles` cycles or until no pattern is new. Random strings are finds only at such patterns.
+Ordinary contexts are mostly followed by ordinary words, so they never get there. Copies add nothing to a score.
+
+The different ordinary words of a pattern are counted by sketches: a task passes on the `SKETCH` smallest hashes and
+the bound below which it has them all, so counts up to SKETCH are exact and larger ones are off by some 13 %. A
+pattern with more than four different ordinary words for a seed is dropped.
 
 A token is a run of letters, digits and . - _ @ + %, or a run of other signs; A-Z are lower-cased in patterns.
 Base matches are leftmost and don't overlap within a kind; those that fail the kind's check are dropped without
 another try. Finds of the method never overlap a base match. Positions count code points, ends are exclusive.
 
 Null texts count as empty and hold nothing. Rows that repeat a doc_id are judged by their own texts. Other columns
-are ignored, an empty table gives no rows.
+are ignored whatever their names, an empty table gives no rows. Texts are never cut.
 """
 
 from __future__ import annotations
@@ -29,21 +36,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontamination import keyed, same
-from .shared import bounded, checkpointed, folded, mixed, pieces, span_hashes
+from .shared import bounded, checkpointed, folded, mixed, rowed, slices, span_hashes
 
-KINDS = ["email", "ip", "card", "phone"]
+KINDS = ["email", "ip", "card", "phone", "secret"]
+SECRET = 4
 _SIGNS = re.compile("[0-9@]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
+_RANDOM = re.compile(r"[A-Za-z0-9_+-]{16,}")
+_CHANGE = re.compile(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")  # a match in the middle of a run of digits would have begun at its start
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CLASS = np.array([0 if c in b" \t\n\v\f\r\0" else 1 if c >= 128 or chr(c).isalnum() or chr(c) in ".-_@+%" else 2 for c in range(256)], np.uint8)
 #: The tokens of a context by their places from the find's first token (the last RIGHT: from its last): the pair before, the one before, a pair with a gap, the pair after.
 _PLACES = [(-2, -1), (-1, -1), (-3, -2), (1, 2)]
-SIDES, RIGHT = len(_PLACES), 3
+RIGHT, BEGIN, SIDES = 3, 4, 5  # the last side is a token's own beginning: its first four letters
 #: Least length of a find of the method: characters, of cards and phone numbers digits.
-LEAST = [3, 3, 4, 3]
+LEAST = [3, 3, 4, 3, 8]
+#: Hashes of ordinary words that a task passes on for a pattern; different ordinary words for a seed, above which a pattern is dropped.
+SKETCH, ORDINARY = 64, 4
+_MOST = np.uint64((1 << 63) - 1)
 _NUMBER = re.compile(r"[0-9]+(?:[.-][0-9]+)*")
 _LEAD = re.compile(r"[(\[][0-9]+[)\]]?")
 _EDGE = r"(?![0-9]*[A-Za-z_@+%])"
@@ -99,7 +111,7 @@ def contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     starts, ends = starts[kept], ends[kept]
     h = span_hashes(folded(data), starts, ends)
     doc = np.searchsorted(first, starts, side="right") - 1
-    around = np.zeros((SIDES, len(h)), np.uint64)
+    around = np.zeros((SIDES, len(h)), np.uint64)  # the three low bits tell the sides apart
     for side, (i, j) in enumerate(_PLACES):
         lo, hi = max(0, -i, -j), len(h) - max(0, i, j)
         if lo < hi:
@@ -108,6 +120,10 @@ def contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
             same_text = one & (doc[lo + j : hi + j] == doc[lo:hi])
             own = mixed(mixed(a) + b if i != j else a) & ~np.uint64(7) | np.uint64(2 * side + 1)
             around[side, lo:hi] = np.where(same_text, own, 0)
+    long = np.flatnonzero(ends - starts >= 8)
+    letters = np.concatenate([[0], np.cumsum((folded(data) >= 97) & (folded(data) <= 122))])
+    long = long[letters[starts[long] + 4] - letters[starts[long]] == 4]
+    around[BEGIN, long] = span_hashes(folded(data), starts[long], starts[long] + 4) & ~np.uint64(7) | np.uint64(2 * BEGIN - 1)
     signs = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57) | (data == 64))])
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     origin = points[first[:-1]][doc]
@@ -115,24 +131,37 @@ def contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return doc, points[starts] - origin, points[ends] - origin, around.view(np.int64), h.view(np.int64), some
 
 
+def _random(text: str, start: int, end: int) -> bool:
+    """Whether a token looks like a random string."""
+    token = text[start:end].rstrip(".-_@+%")
+    return bool(_RANDOM.fullmatch(token)) and len(_CHANGE.findall(token)) >= 4
+
+
 def _seeds(rows: DataFrame) -> DataFrame:
     """_id, _h, spans (kind, start, end, ctx (one of each side), inst)."""
     kinds = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("ctx", pa.list_(pa.int64())), ("inst", pa.int64())])
 
+    def of(text: str) -> list[dict]:
+        spans, found = base_spans(text), []
+        random = [m.start() for m in _RANDOM.finditer(text)] if _SIGNS.search(text) else []
+        if not spans and not random:
+            return found
+        _, start, end, around, _, _ = contexts([text])
+        for k, a, b in spans:
+            i, last = np.searchsorted(start, a), np.searchsorted(start, b) - 1
+            before = around[:RIGHT, i] if i < len(start) and start[i] == a else np.zeros(RIGHT, np.int64)
+            found.append({"kind": k, "start": a, "end": b, "ctx": [*before.tolist(), int(around[RIGHT, last])], "inst": _instance(text[a:b].lower())})
+        for i in sorted({int(np.searchsorted(start, a, side="right")) - 1 for a in random}):
+            a, b = int(start[i]), int(end[i])
+            if _random(text, a, b) and not any(s[1] < b and s[2] > a for s in spans):
+                b = a + len(text[a:b].rstrip(".-_@+%"))
+                found.append({"kind": SECRET, "start": a, "end": b, "ctx": around[:, i].tolist(), "inst": _instance(text[a:b].lower())})
+        return found
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            out = []
-            for text in texts:
-                spans, found = base_spans(text), []
-                if spans:
-                    _, start, _, around, _, _ = contexts([text])
-                for k, a, b in spans:
-                    i, last = np.searchsorted(start, a), np.searchsorted(start, b) - 1
-                    before = around[:RIGHT, i] if i < len(start) and start[i] == a else np.zeros(RIGHT, np.int64)
-                    found.append({"kind": k, "start": a, "end": b, "ctx": [*before.tolist(), *around[RIGHT:, last].tolist()], "inst": _instance(text[a:b].lower())})
-                out.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(kinds))], ["_id", "_h", "spans"])
+            for a, b, texts in slices(batch.column(2)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([of(t) for t in texts], pa.list_(kinds))], ["_id", "_h", "spans"])
 
     kind = rows.schema["_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"_id {kind}, _h long, spans array<struct<kind: int, start: int, end: int, ctx: array<long>, inst: long>>")
@@ -173,73 +202,118 @@ def extents(text: str, start: int, end: int, others: list[tuple[int, int, int]],
             out.append((a, b) if sum(c.isdigit() for c in text[a:b]) >= LEAST[kind] else (0, 0))
         else:
             out.append(plain)
-    return out
-
-
-def _followers(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """What stands at the wanted contexts: identifiers with their places (kind -1 for what isn't a seed; spans: one for each kind), ordinary words without (kind -2), once for each context in a task as long as it remembers them."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.sort(wanted))
-    names = ["_id", "_h", "ctx", "inst", "kind", "spans"]
+    return [*out, plain if plain[1] - plain[0] >= LEAST[SECRET] else (0, 0)]
+
+
+class Ordinary:
+    """A task's different ordinary words by pattern: of each the smallest hashes, as many as tell whether it's to be dropped."""
+
+    def __init__(self, patterns: int, seeds: np.ndarray) -> None:
+        self.most = np.where(seeds <= 1000, ORDINARY * seeds + 1, 0)
+        self.kept = np.maximum(self.most, SKETCH + 1)
+        self.at, self.word, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        self.waiting = 0
+
+    def add(self, at: np.ndarray, word: np.ndarray) -> None:
+        self.held.append((at, word))
+        self.waiting += len(at)
+        if self.waiting > max(200_000, len(self.at)):
+            self.settle()
+
+    def settle(self) -> None:
+        at, word = (np.concatenate([own, *(h[i] for h in self.held)]) for i, own in enumerate((self.at, self.word)))
+        by = np.lexsort((word, at))
+        at, word = at[by], word[by]
+        new = np.concatenate([[True], (at[1:] != at[:-1]) | (word[1:] != word[:-1])])[: len(at)]
+        at, word = at[new], word[new]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        near = rank < self.kept[at]
+        self.at, self.word, self.held, self.waiting = at[near], word[near], [], 0
+
+    def sketches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Patterns, hashes and bounds: below its bound all words are told; bound 0: the pattern is dropped."""
+        self.settle()
+        at, word = self.at, self.word
+        first = np.searchsorted(at, at)
+        rank, n = np.arange(len(at)) - first, np.searchsorted(at, at, side="right") - first
+        over = (self.most[at] > 0) & (n >= self.most[at])
+        bound = np.where(over, 0, np.where(n > SKETCH, word[np.minimum(first + SKETCH, max(0, len(at) - 1))], _MOST.astype(np.int64))) if len(at) else word
+        told = np.where(over, rank == 0, rank < SKETCH)
+        return at[told], word[told], bound[told]
+
+
+def _followers(rows: DataFrame, wanted: np.ndarray, seeds: np.ndarray) -> DataFrame:
+    """What stands at the wanted contexts (sorted; seeds: how many they have): identifiers with their places (kind -1; spans: one for each kind; all: all contexts of the place), ordinary words as sketches (kind -2, bound)."""
+    shared = rows.sparkSession.sparkContext.broadcast((wanted, seeds))
+    names = ["_id", "_h", "ctx", "inst", "kind", "spans", "all", "bound"]
+    pair = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, n_seeds = shared.value
         table = np.zeros(1 << 16, bool)
         table[known >> 16 & 0xFFFF] = True
-        told = np.zeros(0, np.uint64)
+        words = Ordinary(len(known), n_seeds)
+        kind = None
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            for lo, hi in pieces(texts, 1 << 20):
-                found, plain = [], []
-                doc, start, end, around, h, some = contexts(texts[lo:hi])
+            kind = batch.column(0).type
+            for lo, hi, texts in slices(batch.column(2)):
+                found: list[tuple] = []
+                doc, start, end, around, h, some = contexts(texts)
+                h = (mixed(h.view(np.uint64)) >> np.uint64(1)).astype(np.int64)
                 spans: dict[int, list] = {}
-                known_extents: dict[tuple[int, bool], list] = {}
+                extents_: dict[tuple[int, bool], list] = {}
                 for side, ctx in enumerate(around):
                     near = np.flatnonzero(table[ctx >> 16 & 0xFFFF] & (ctx != 0))
-                    near = near[known[np.minimum(np.searchsorted(known, ctx[near]), len(known) - 1)] == ctx[near]]
-                    usual = []
-                    for i in near[(some[near] > 0) | (end[near] - start[near] < 3)].tolist():
-                        d, a, b, c = int(doc[i]), int(start[i]), int(end[i]), int(ctx[i])
-                        text = texts[lo + d]
+                    at = np.minimum(np.searchsorted(known, ctx[near]), len(known) - 1)
+                    near, at = near[known[at] == ctx[near]], at[known[at] == ctx[near]]
+                    plain = (some[near] == 0) & (end[near] - start[near] >= 3)
+                    for j in np.flatnonzero(~plain).tolist():
+                        i = int(near[j])
+                        d, a, b = int(doc[i]), int(start[i]), int(end[i])
+                        text = texts[d]
                         if some[i] == 0 and not _LEAD.match(text, a):
-                            usual.append(i)
+                            plain[j] = True
                             continue
                         own = spans[d] if d in spans else spans.setdefault(d, base_spans(text))
-                        if base := [s for s in own if (s[1] == a if side < RIGHT else s[1] <= a < s[2] <= b)]:
-                            found += [(lo + d, c, _instance(text[s[1] : s[2]].lower()), s[0], None) for s in base]
+                        if any(s[1] < b and s[2] > a for s in own):
                             continue
-                        if (place := (i, side >= RIGHT)) not in known_extents:
-                            known_extents[place] = extents(text, a, b, own, side >= RIGHT)
-                        each = known_extents[place]
-                        if ends := [x for x in each if x[1]]:
+                        place = (i, side == RIGHT)
+                        if place not in extents_:
+                            extents_[place] = extents(text, a, b, own, side == RIGHT)
+                        if ends := [x for x in extents_[place] if x[1]]:
                             p, q = min(ends)[0], max(x[1] for x in ends)
-                            found.append((lo + d, c, _instance(text[p:q].lower()), -1, each))
-                        elif not any(s[1] < b and s[2] > a for s in own):
-                            usual.append(i)
-                    usual = np.concatenate([near[(some[near] == 0) & (end[near] - start[near] >= 3)], np.array(usual, np.int64)])
-                    plain.append(np.unique(np.stack([ctx[usual], h[usual]]), axis=1))
-                plain = np.concatenate(plain, axis=1)
-                pair, first = np.unique(mixed(plain[0].view(np.uint64)) + plain[1].view(np.uint64), return_index=True)
-                new = ~np.isin(pair, told, assume_unique=True)
-                plain = plain[:, first[new]]
-                told = np.concatenate([told if len(told) < 1_000_000 else told[:0], pair[new]])
-                at, c, i, k, x = zip(*found, strict=True) if found else [()] * 5
-                n = plain.shape[1]
-                marked = np.array([y is not None for y in x], bool)
-                flat = np.array([y for y in x if y is not None], np.int32).reshape(-1, 2)
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(marked, len(KINDS), 0))]).astype(np.int32), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start", "end"]))
-                own = [pa.concat_arrays([batch.column(j).take(pa.array(at, pa.int64())), pa.nulls(n, batch.column(j).type)]) for j in (0, 1)]
-                numbers = [pa.concat_arrays([pa.array(y, t), pa.array(z, t)]) for y, z, t in ((c, plain[0], pa.int64()), (i, plain[1], pa.int64()), (k, np.full(n, -2, np.int32), pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*own, *numbers, pa.concat_arrays([lists, pa.nulls(n, lists.type)])], names)
+                            found.append((lo + d, int(ctx[i]), _instance(text[p:q].lower()), extents_[place], around[:, i].tolist()))
+                        else:
+                            plain[j] = True
+                    words.add(at[plain], h[near[plain]])
+                if found:
+                    i, c, x, e, all_ = zip(*found, strict=True)
+                    n = len(i)
+                    lists = pa.array([[{"start": p, "end": q} for p, q in each] for each in e], pa.list_(pair))
+                    ids = [batch.column(k).take(pa.array(i, pa.int64())) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(c, pa.int64()), pa.array(x, pa.int64()), pa.array([-1] * n, pa.int32()), lists, pa.array(all_, pa.list_(pa.int64())), pa.nulls(n, pa.int64())], names)
+        if kind is not None:
+            at, word, bound = words.sketches()
+            n = len(at)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.array(known[at]), pa.array(word), pa.array([-2] * n, pa.int32()), pa.nulls(n, pa.list_(pair)), pa.nulls(n, pa.list_(pa.int64())), pa.array(bound)], names)
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, _h long, ctx long, inst long, kind int, spans array<struct<start: int, end: int>>")
+    return rows.mapInArrow(run, f"_id {kind}, _h long, ctx long, inst long, kind int, spans array<struct<start: int, end: int>>, all array<long>, bound long")
+
+
+def ordinary(edges: DataFrame) -> DataFrame:
+    """Rows (ctx, plain): the number of different ordinary words, from the sketches of all tasks; infinite for dropped patterns."""
+    plain = edges.filter("kind = -2")
+    least = plain.groupBy("ctx").agg(F.min("bound").alias("least"))
+    below = plain.select("ctx", "inst").distinct().join(least, "ctx").groupBy("ctx", "least").agg(F.sum(F.when(F.col("inst") < F.col("least"), 1).otherwise(0)).alias("n"))
+    return below.select("ctx", F.when(F.col("least") == 0, float("inf")).otherwise(F.col("n") / (F.col("least") / float(1 << 63))).alias("plain"))
 
 
-def score_patterns(edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """Rows (ctx, kind, score) of edges (ctx, inst, kind): kind -1 for what isn't a seed, -2 for ordinary words. Copies count once, ordinary words too."""
-    graph = checkpointed(edges.filter("kind > -2").groupBy("ctx", "inst").agg(F.max("kind").alias("kind")))
-    plain = edges.filter("kind = -2").select("ctx", "inst").distinct().groupBy("ctx").agg(F.count("*").alias("plain"))
-    size = checkpointed(graph.groupBy("ctx").agg(F.count("*").alias("different")).join(plain, "ctx", "left").select("ctx", (F.col("different") + F.coalesce("plain", F.lit(0))).alias("size")))
+def score_patterns(edges: DataFrame, seeds: DataFrame, rounds: int = 3) -> DataFrame:
+    """Rows (ctx, kind, score) of edges (of _followers) and seeds (ctx, inst, kind), at the contexts of `edges` and seeds alike. Copies count once, ordinary words too."""
+    graph = checkpointed(edges.filter("kind = -1").select("ctx", "inst", "kind").union(seeds.select("ctx", "inst", "kind")).groupBy("ctx", "inst").agg(F.max("kind").alias("kind")))
+    some = graph.groupBy("ctx").agg(F.count("*").alias("different"), F.sum(F.when(F.col("kind") >= 0, 1).otherwise(0)).alias("s")).join(ordinary(edges), "ctx", "left")
+    size = checkpointed(some.filter(F.coalesce("plain", F.lit(0.0)) <= ORDINARY * F.greatest("s", F.lit(1))).select("ctx", (F.col("different") + F.coalesce("plain", F.lit(0.0))).alias("size")))
     fixed = graph.filter("kind >= 0").groupBy("ctx", "kind").agg(F.count("*").cast("double").alias("mass"))
     scores = fixed.join(size, "ctx").select("ctx", "kind", (F.col("mass") / F.col("size")).alias("score"))
     open_ = graph.filter("kind = -1").select("ctx", "inst")
@@ -253,28 +327,39 @@ def score_patterns(edges: DataFrame, rounds: int = 3) -> DataFrame:
     return checkpointed(scores)
 
 
-def extract(docs: DataFrame, support: int = 5, confidence: float = 0.8, rounds: int = 3, key: str = "doc_id", text: str = "text", most: int = 2_000_000) -> DataFrame:
-    """Rows (_id, _h, base, added), one for each row of docs; base, added: arrays of (kind, start, end), kind as the index in KINDS. most bounds the number of patterns looked up at once."""
+def extract(docs: DataFrame, support: int = 5, confidence: float = 0.8, rounds: int = 3, cycles: int = 3, key: str = "doc_id", text: str = "text", most: int = 2_000_000) -> DataFrame:
+    """Rows (_id, _h, base, added), one for each row of docs; base, added: arrays of (kind, start, end), kind as the index in KINDS. most bounds the number of patterns looked up in one scan; more of them take more scans."""
     rows = keyed(docs, key, text)
-    seeds = checkpointed(_seeds(rows))
-    marks = seeds.select(F.explode("spans").alias("s")).select(F.explode("s.ctx").alias("ctx"), "s.inst").filter("ctx <> 0")
-    wanted = checkpointed(marks.distinct().groupBy("ctx").agg(F.count("*").alias("n")).filter(F.col("n") >= support).select("ctx"))
-    n = wanted.count()
-    plain = seeds.select("_id", "_h", F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"))
-    if not n:
-        return plain.withColumn("added", F.array().cast("array<struct<kind: int, start: int, end: int>>"))
-    edges = None
-    for part in range(parts := -(-n // most)):  # each part has a bounded number of patterns
-        own = wanted.filter(F.pmod(F.xxhash64("ctx"), F.lit(parts)) == part)
-        found = _followers(rows, np.array([r.ctx for r in own.collect()], np.int64))
-        edges = found if edges is None else edges.union(found)
-    edges = checkpointed(edges)
-    good = score_patterns(edges, rounds).filter(F.col("score") >= confidence)
-    best = good.groupBy("ctx").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("k"))
-    hits = edges.filter("kind = -1").join(best, "ctx").select("_id", "_h", "k", F.get("spans", F.col("k")).alias("s")).filter("s.end > s.start")
-    new = hits.groupBy("_id", "_h").agg(F.array_sort(F.collect_set(F.struct(F.col("k").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end")))).alias("added"))
-    out = plain.alias("a").join(new.alias("b"), same(plain, new, ["_id", "_h"]), "left")
-    return out.select("a._id", "a._h", "base", F.coalesce("added", F.array().cast("array<struct<kind: int, start: int, end: int>>")).alias("added"))
+    found = checkpointed(_seeds(rows))
+    seeds = found.select(F.explode("spans").alias("s")).select(F.explode("s.ctx").alias("ctx"), "s.inst", "s.kind").filter("ctx <> 0").groupBy("ctx", "inst").agg(F.max("kind").alias("kind"))
+    seeds = checkpointed(seeds)
+    marks, looked, edges, hits = seeds.select("ctx", "inst"), None, None, None
+    for _ in range(cycles):
+        wanted = marks.groupBy("ctx").agg(F.count_distinct("inst").alias("n")).filter(F.col("n") >= support)
+        wanted = checkpointed(wanted if looked is None else wanted.join(looked, "ctx", "left_anti"))
+        if not (n := wanted.count()):
+            break
+        for part in range(parts := -(-n // most)):  # each part has a bounded number of patterns
+            own = wanted.filter(F.pmod(F.xxhash64("ctx"), F.lit(parts)) == part).toArrow()
+            ctx, count = own["ctx"].to_numpy(), own["n"].to_numpy()
+            at = checkpointed(_followers(rows, np.sort(ctx), count[np.argsort(ctx)]))
+            edges = at if edges is None else edges.union(at)
+        looked = wanted.select("ctx") if looked is None else looked.union(wanted.select("ctx"))
+        good = score_patterns(edges, seeds.join(looked, "ctx", "left_semi"), rounds).filter(F.col("score") >= confidence)
+        best = checkpointed(good.groupBy("ctx").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("k"), F.max("score").alias("score")))
+        hits = checkpointed(edges.filter("kind = -1").join(best, "ctx").withColumn("s", F.get("spans", F.col("k"))).filter("s.end > s.start").select("_id", "_h", "k", "s", "score", "inst", "all"))
+        marks = seeds.select("ctx", "inst").union(hits.select(F.explode("all").alias("ctx"), "inst").filter("ctx <> 0"))
+    of = F.filter("spans", lambda s: s["kind"] < SECRET)
+    plain = found.select("_id", "_h", F.transform(of, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"))
+    none = F.array().cast("array<struct<kind: int, start: int, end: int>>")
+    if hits is None:
+        return plain.withColumn("added", none)
+    # Of a place's kinds the surest.
+    places = hits.groupBy("_id", "_h", F.col("s.start").alias("start")).agg(F.max_by(F.struct("k", "s.end"), F.struct("score", -F.col("k"))).alias("x"))
+    new = places.groupBy("_id", "_h").agg(F.array_sort(F.collect_set(F.struct(F.col("x.k").alias("kind"), "start", "x.end"))).alias("added"))
+    new, hint = bounded(checkpointed(new), 500_000)
+    out = plain.alias("a").join(hint(new).alias("b"), same(plain, new, ["_id", "_h"]), "left")
+    return out.select("a._id", "a._h", "base", F.coalesce("added", none).alias("added"))
 
 
 def listed(spans: F.Column) -> F.Column:
@@ -284,26 +369,36 @@ def listed(spans: F.Column) -> F.Column:
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 500_000, **options) -> DataFrame:
-    """docs, each find in its text replaced by its kind in angle brackets; overlapping ones by the kind of the first."""
-    found = extract(docs, key=key, text=text, **options).select("_id", "_h", F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("_spans"))
-    found, hint = bounded(checkpointed(found.filter(F.size("_spans") > 0).distinct()), most)
-    names = docs.columns
-    own = docs.withColumn("_row", F.xxhash64(F.col(key), F.col(text)))
-    both = own.join(hint(found), own["_row"].eqNullSafe(found["_h"]) & own[key].eqNullSafe(found["_id"]), "left").select(*[own[c] for c in names], "_spans")
+    """docs, each find in its text replaced by its kind in angle brackets; overlapping ones by the kind of the first.
+
+    Null and empty texts stay as they are, rows that repeat a key are redacted by their own texts. Other columns may
+    have any names and pass through as they are. An empty table gives no rows.
+    """
+    spans = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    found = extract(docs, key=key, text=text, **options).select("_id", "_h", spans.alias("_spans")).filter(F.size("_spans") > 0).distinct()
+    found, hint = bounded(checkpointed(found), most)
+    own = F.col("row").getField(key), F.col("row").getField(text)
+    both = rowed(docs).join(hint(found), (F.xxhash64(*own) == F.col("_h")) & own[0].eqNullSafe(F.col("_id")), "left")
+    names, at = docs.columns, docs.columns.index(text)
+    last = "_".join(["spans", *names])  # no column has a name longer than all together
+
+    def redacted(said: str, spans: list[dict]) -> str:
+        out, end = [], 0
+        for s in spans:
+            if s["start"] >= end:
+                out += [said[end : s["start"]], f"<{KINDS[s['kind']]}>"]
+            end = max(end, s["end"])
+        return "".join([*out, said[end:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            texts = []
-            for said, spans in zip(x.column(text).to_pylist(), x.column("_spans").to_pylist(), strict=True):
-                if spans:
-                    out, end = [], 0
-                    for s in spans:
-                        if s["start"] >= end:
-                            out += [said[end : s["start"]], f"<{KINDS[s['kind']]}>"]
-                        end = max(end, s["end"])
-                    said = "".join([*out, said[end:]])
-                texts.append(said)
-            columns = [pa.array(texts, pa.string()) if c == text else x.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return both.mapInArrow(run, docs.schema)
+            for a, b, texts in slices(x.column(at)):
+                part = x.slice(a, b - a)
+                columns = part.columns[:-1]
+                lists = part.column(len(names))
+                if lists.null_count < b - a:
+                    said = [redacted(t, s) if s else None if null else t for t, s, null in zip(texts, lists.to_pylist(), part.column(at).is_null().to_pylist(), strict=True)]
+                    columns[at] = pa.array(said, columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return both.select("row.*", F.col("_spans").alias(last)).mapInArrow(run, docs.schema)

@@ -25,9 +25,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.extract(table(spark, sf_dir, "documents"))
     kinds = F.transform("base", lambda s: s["kind"])
-    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS[: pii.SECRET])]
     base = F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256")
-    return found.select(F.col("_id").alias("doc_id"), *counts, base, pii.listed(F.concat("base", "added")).alias("spans"))
+    every = F.concat("base", "added")
+    return found.select(F.col("_id").alias("doc_id"), *counts, base, pii.listed(every).alias("spans"), F.size(every).cast("long").alias("n_spans"), F.size("added").cast("long").alias("n_added"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +68,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model).select("doc_id", "score", "predicted")
-    return scored.withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,14 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_written: dict[int, str] = {}
-
-
 def _folder(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The shared folder in spark.checkpoint.dir; where that is unset a folder of our own, which only executors on the driver's machine share."""
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if shared is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         context.setCheckpointDir(shared)
     return f"{shared}/{context.applicationId}-{uuid.uuid4().hex}"
@@ -36,21 +37,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = _folder(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _written[id(out)] = path
+    out.__dict__["written_at"] = path
     return out
 
 
 def dropped(df: DataFrame) -> None:
     """Deletes the table of a df of checkpointed() that nothing reads any more."""
-    if path := _written.pop(id(df), None):
+    if path := df.__dict__.pop("written_at", None):
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
 
 
-def bounded(df: DataFrame, most: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """df and a hint for it and what is derived from it: broadcast() if it has no more than `most` rows, else none."""
-    return df, F.broadcast if df.limit(most + 1).count() <= most else lambda x: x
+#: The most bytes (as JSON, about what they take in memory) of a table that is broadcast.
+BROADCAST_BYTES = 1 << 26
+
+
+def bounded(df: DataFrame, most: int, most_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df and a hint for it and what is derived from it: broadcast() if it has no more than `most` rows and most_bytes bytes, else none: the join shuffles."""
+    n, size = df.limit(most + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()
+    return df, F.broadcast if n <= most and (size or 0) <= most_bytes else lambda x: x
+
+
+def rowed(df: DataFrame) -> DataFrame:
+    """df as one struct column `row`, so that no column of its own clashes with one that an operator adds."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -126,7 +137,11 @@ def folded(data: np.ndarray) -> np.ndarray:
     return _FOLD[data]
 
 
-def pieces(texts: list[str], most: int = 1 << 21) -> list[tuple[int, int]]:
+#: Bytes of text that are worked on at once: arrays over them have some ten times eight bytes a byte.
+PIECE = 1 << 18
+
+
+def pieces(texts: list[str], most: int = PIECE) -> list[tuple[int, int]]:
     """Ranges of texts that hold about `most` bytes each, so that arrays over their bytes stay small."""
     out, first, size = [], 0, 0
     for i, text in enumerate(texts):
@@ -135,3 +150,14 @@ def pieces(texts: list[str], most: int = 1 << 21) -> list[tuple[int, int]]:
             first, size = i, 0
         size += len(text) + 1
     return [*out, (first, len(texts))] if texts else []
+
+
+def slices(column: pa.Array, most: int = PIECE, rows: int = 60_000) -> Iterator[tuple[int, int, list[str]]]:
+    """A column of strings by slices of about `most` bytes and at most `rows` rows: first row, row after the last, texts (null: empty). No more than one slice is held as Python strings."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    a = 0
+    while a < len(ends):
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right"))
+        b = min(max(a + 1, b), a + rows)
+        yield a, b, [t or "" for t in column.slice(a, b - a).to_pylist()]
+        a = b

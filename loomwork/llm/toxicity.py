@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD_BYTES, folded, pieces, span_hashes
+from .shared import WORD_BYTES, folded, pieces, slices, span_hashes
 
 FEATURES = 1 << 20
 #: Beside a whole word its first 4, 5 and 6 bytes are features.
@@ -127,17 +127,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> tuple[np.ndar
     return weights, bias
 
 
-def _scores(texts: list[str], weights: np.ndarray, bias: float, offending: list[list] | None, threshold: float = 0.5) -> np.ndarray:
-    scores = np.zeros(len(texts))
-    for a, b in pieces(texts) if np.isfinite(bias) else []:
-        words, sentence, text, start, end = features(texts[a:b])
-        z = _chances(weights, bias, words, sentence, len(text))
-        scores[a:b] = -np.expm1(np.bincount(text, -np.logaddexp(0, z), b - a))
-        if offending is not None:
-            p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-            for i in np.flatnonzero(p >= threshold):
-                offending[a + text[i]].append({"start": int(start[i]), "end": int(end[i]), "p": float(p[i])})
-    return scores
+def _scores(texts: list[str], weights: np.ndarray, bias: float, threshold: float = 0.5) -> tuple[np.ndarray, list[list]]:
+    """Each text's score, and its sentences of at least `threshold`."""
+    offending: list[list] = [[] for _ in texts]
+    if not np.isfinite(bias):
+        return np.zeros(len(texts)), offending
+    words, sentence, text, start, end = features(texts)
+    z = _chances(weights, bias, words, sentence, len(text))
+    p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    for i in np.flatnonzero(p >= threshold):
+        offending[text[i]].append({"start": int(start[i]), "end": int(end[i]), "p": float(p[i])})
+    return -np.expm1(np.bincount(text, -np.logaddexp(0, z), len(texts))), offending
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
@@ -146,24 +146,27 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id",
     places = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            offending = [[] for _ in texts]
-            scores = _scores([t or "" for t in texts], weights, bias, offending, threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(offending, places)], [key, "score", "predicted", "offending"])
+            for a, b, texts in slices(batch.column(1)):
+                scores, offending = _scores(texts, *shared.value, threshold)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(offending, places)], [key, "score", "predicted", "offending"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, score double, predicted int, offending array<struct<start: long, end: long, p: double>>")
 
 
 def reject(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs, with all columns, without the texts whose score is at least the threshold."""
+    """docs, with all columns, without the texts whose score is at least the threshold.
+
+    Null and empty texts score 0 and stay, repeated rows stay or go together, columns may have any names (all but the
+    text pass through as they are), an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
         for batch in batches:
-            yield batch.filter(pa.array(_scores([t or "" for t in batch.column(text).to_pylist()], weights, bias, None) < threshold))
+            for a, b, texts in slices(batch.column(at)):
+                yield batch.slice(a, b - a).filter(pa.array(_scores(texts, *shared.value)[0] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
