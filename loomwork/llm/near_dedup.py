@@ -236,25 +236,48 @@ def _crossing(buckets: DataFrame, crowd: int | None) -> tuple[DataFrame, DataFra
     return pairs, buckets.join(large, "bucket", "left_semi")
 
 
-def _around(near: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of nodes of different classes near one head (rows node, head, label, j, n, common, added), of which one isn't linked to the head.
+def _around(near: DataFrame, threshold: float, block: int = 2048, entries: int = 1 << 22) -> DataFrame:
+    """Pairs of nodes of different classes near one head (rows node, head, label, j, n, common, added), of which one isn't linked to the head and that can be linked.
 
-    x and y have at most the smaller `common` of the two and the shingles that both have and the head lacks in
-    common; linked pairs have at least (|x| + |y|) / (1 + 1/threshold). Let x not be linked to the head: if the two
-    share no shingle that the head lacks, y has to be smaller than the head. All other pairs share such a shingle.
+    x and y have in common at most the smaller `common` of the two and the shingles that both have and the head lacks;
+    linked pairs have at least (|x| + |y|) / (1 + 1/threshold). The nodes of a head are dealt into blocks of about
+    `block` nodes and `entries` shingles at most; a task counts what the nodes of two blocks share and returns the pairs
+    that the bound leaves, no others.
     """
-    y = near.select("head", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("common").alias("cy"), "added")
-    x = near.filter(F.col("j") < threshold).select("head", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("common").alias("cx"), "added")
-    each = lambda d: F.explode(d["added"]).alias("s")
-    one = x.select("head", "x", "lx", "nx", "cx", each(x)).join(y.select("head", "y", "ly", "ny", "cy", each(y)), ["head", "s"]).filter("lx <> ly")
-    one = one.groupBy("head", "x", "y", "nx", "ny", "cx", "cy").agg(F.count("*").alias("shared"))
-    one = one.filter(F.col("nx") + F.col("ny") <= (1 + 1 / threshold) * (F.least("cx", "cy") + F.col("shared")) + 1e-9).select("x", "y")
-    factor = 1 + 1 / threshold
-    low, high = F.ceil(threshold * F.col("nx")), F.floor(factor * F.col("cx") + 1e-9) - F.col("nx")
-    sized = x.filter(low <= high).select("head", "x", "lx", "nx", "cx", F.explode(F.sequence(low, high)).alias("ny"))
-    two = sized.join(y.drop("added"), ["head", "ny"]).filter((F.col("lx") != F.col("ly")) & (F.col("nx") + F.col("ny") <= factor * F.col("cy") + 1e-9)).select("x", "y")
-    both = one.union(two)
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    sizes = near.groupBy("head").agg(F.count("*").alias("_n"), F.sum(F.size("added")).alias("_s"), F.min("j").alias("_j"), F.min("label").alias("_low"), F.max("label").alias("_high"))
+    blocks = F.greatest(F.ceil(F.col("_n") / block), F.ceil(F.col("_s") / entries), F.lit(1))
+    sizes = sizes.filter((F.col("_j") < threshold) & (F.col("_low") != F.col("_high"))).select("head", blocks.cast("int").alias("_b"))
+    dealt = near.join(sizes, "head").withColumn("_at", F.pmod(F.xxhash64("node"), F.col("_b")).cast("int")).withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    first, second = F.least("_at", "_to").alias("p"), F.greatest("_at", "_to").alias("q")
+    sent = dealt.select("head", first, second, (F.col("_at") == F.least("_at", "_to")).alias("left"), "node", "label", (F.col("j") < threshold).alias("apart"), "n", "common", "added")
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    def left_open(t: pa.Table) -> pa.Table:
+        node, label, n, common = (t[c].to_numpy().astype(np.int64) for c in ("node", "label", "n", "common"))
+        apart, left = (t[c].to_numpy(zero_copy_only=False) for c in ("apart", "left"))
+        one = t["p"][0].as_py() == t["q"][0].as_py()
+        i, j = np.flatnonzero(left), np.flatnonzero(left if one else ~left)
+        if not len(i) or not len(j) or not apart.any():
+            return none
+        added = t["added"].combine_chunks()
+        owner = np.repeat(np.arange(len(node)), added.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        by = np.argsort(said := added.flatten().to_numpy(zero_copy_only=False), kind="stable")
+        said, owner = said[by], owner[by]
+        cuts = np.flatnonzero(np.concatenate([[True], said[1:] != said[:-1], [True]])) if len(said) else np.zeros(1, np.int64)
+        row, column = np.full(len(node), -1), np.full(len(node), -1)
+        row[i], column[j] = np.arange(len(i)), np.arange(len(j))
+        shared = np.zeros((len(i), len(j)), np.int32)
+        for k in np.flatnonzero(np.diff(cuts) > 1):
+            held = owner[cuts[k] : cuts[k + 1]]
+            r, c = row[held], column[held]
+            shared[np.ix_(r[r >= 0], c[c >= 0])] += 1
+        open_ = n[i][:, None] + n[j][None, :] <= (1 + 1 / threshold) * (np.minimum(common[i][:, None], common[j][None, :]) + shared) + 1e-9
+        open_ &= (label[i][:, None] != label[j][None, :]) & (apart[i][:, None] | apart[j][None, :])
+        x, y = np.nonzero(open_)
+        x, y = node[i[x]], node[j[y]]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return sent.groupBy("head", "p", "q").applyInArrow(left_open, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, weighting: str = "set", key: str = "doc_id", text: str = "text", crowd: int = 48, most: int = 500_000) -> DataFrame:

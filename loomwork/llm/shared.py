@@ -17,6 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +36,7 @@ def _folder(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written as a table to the shared folder and read again: its lineage is cut, lost executors cost nothing."""
     path = _folder(df.sparkSession)
+    small_batches(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.__dict__["written_at"] = path
@@ -59,6 +61,13 @@ def bounded(df: DataFrame, most: int, most_bytes: int = BROADCAST_BYTES) -> tupl
     return df, F.broadcast if n <= most and (size or 0) <= most_bytes else lambda x: x
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Lets Spark hand texts to Python in batches of `size`, where the session has its default of 64 MB: each task holds several batches outside the heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, size)
+
+
 def rowed(df: DataFrame) -> DataFrame:
     """df as one struct column `row`, so that no column of its own clashes with one that an operator adds."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
