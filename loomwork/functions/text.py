@@ -16,8 +16,20 @@ TOKEN = r"【([0-9]+)】"
 BAD_PREFIXES = ["译文：", "译文:", "翻译：", "翻译:", "中文：", "中文:", "Answer:", "Translation:", "输出："]
 
 
+#: White space as single characters: what Unicode counts as such up to the ideographic space.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+
+
+def rstrip(text: Column) -> Column:
+    return F.rtrim(text, F.lit(SPACES))
+
+
+def translatable(text: Column) -> Column:
+    return text.rlike(r"\p{L}")
 
 
 def count(text: Column, pattern: str) -> Column:

@@ -47,3 +47,60 @@ def fingerprint_verdicts(games: DataFrame, packages: DataFrame) -> DataFrame:
     total = feature(packages, "package").groupBy("package").agg(F.count("*").alias("all"))
     shared = feature(games, "game").join(feature(packages, "package"), "f").groupBy("game", "package").agg(F.count("*").alias("n"))
     return shared.join(total, "package").select("game", "package", F.when(F.col("n") == F.col("all"), "match").otherwise("partial").alias("verdict"))
+
+
+#: Classes of names by which a game and a package are compared.
+CLASSES = ["exe", "data_dirs", "packs", "dirs"]
+
+
+def _named(df: DataFrame, key: str) -> DataFrame:
+    """df with mask: a bit for each class that has names."""
+    bit = lambda c, i: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, 1 << i).otherwise(0)
+    return df.withColumn("mask", sum(bit(c, i) for i, c in enumerate(CLASSES)))
+
+
+def _names(df: DataFrame, key: str) -> DataFrame:
+    by_class = F.array(*[F.struct(F.lit(i).alias("class"), F.col(c).alias("names")) for i, c in enumerate(CLASSES)])
+    rows = df.select(key, "mask", F.explode(by_class).alias("x")).select(key, "mask", "x.class", F.explode("x.names").alias("name"))
+    return rows.withColumn("name", F.lower("name")).distinct()
+
+
+def class_verdicts(games: DataFrame, packages: DataFrame) -> DataFrame:
+    """Rows (game, package, verdict) for pairs that share a name of some class: match if all classes that both have share one, else partial.
+
+    games (game, and an array of names for each class), packages (package and the same). Pairs without a row are
+    mismatches if both have names of some class, else nothing is known; best_packages() tells. An equi-join on names.
+    """
+    a, b = _names(_named(games, "game"), "game"), _names(_named(packages, "package"), "package").withColumnRenamed("mask", "other")
+    hits = a.join(b, ["class", "name"]).select("game", "package", "class", F.col("mask").bitwiseAND(F.col("other")).alias("both")).distinct()
+    counted = hits.groupBy("game", "package", "both").agg(F.count("*").alias("n"))
+    return counted.select("game", "package", F.when(F.col("n") == F.bit_count("both"), "match").otherwise("partial").alias("verdict"))
+
+
+def best_packages(games: DataFrame, packages: DataFrame) -> DataFrame:
+    """Rows (game, package, verdict): for each game the first package (created, then name, the newest first) of the best verdict: match, partial, unknown, mismatch.
+
+    Packages (package, created, error, names by class) with an error don't take part. No pairs are made of what shares
+    no name: packages without a common class are told by which classes they have, of which there are 16 sets.
+    """
+    rows = packages.filter(F.coalesce(F.col("error"), F.lit("")) == "").withColumn("newest", F.struct("created", "package"))
+    shared = class_verdicts(games, rows).join(rows.select("package", "newest"), "package")
+    shared = shared.groupBy("game").agg(F.max(F.struct((F.col("verdict") == "match").alias("whole"), "newest")).alias("x"))
+    sets = F.broadcast(_named(rows, "package").groupBy(F.col("mask").alias("other")).agg(F.max("newest").alias("newest")))  # at most 16 rows
+    apart = _named(games, "game").select("game", "mask").join(sets).groupBy("game").agg(F.max(F.struct((F.col("mask").bitwiseAND(F.col("other")) == 0).alias("unknown"), "newest")).alias("y"))
+    out = apart.join(shared, "game", "left")
+    verdict = F.when(F.col("x.whole"), "match").when(F.col("x").isNotNull(), "partial").when(F.col("y.unknown"), "unknown").otherwise("mismatch")
+    return out.select("game", F.coalesce("x.newest.package", "y.newest.package").alias("package"), verdict.alias("verdict"))
+
+
+def default_picks(best: DataFrame) -> DataFrame:
+    """best_packages() where the package may be taken without asking."""
+    return best.filter(F.col("verdict").isin("match", "partial"))
+
+
+def match_gate(imported: DataFrame, least: float = 0.05) -> DataFrame:
+    """One row of import_package()'s rows: total, by_uid, by_memory, missed, ratio, and whether the package fits: something matched, and by uid or at least this share."""
+    of = lambda how: F.count_if(F.col("how") == how)
+    counts = imported.agg(F.count("*").alias("total"), of("uid").alias("by_uid"), of("memory").alias("by_memory"), of("missed").alias("missed"))
+    ratio = (F.col("by_uid") + F.col("by_memory")) / F.greatest(F.lit(1), F.col("total"))
+    return counts.withColumn("ratio", ratio).withColumn("fits", (F.col("ratio") > 0) & ((F.col("by_uid") > 0) | (F.col("ratio") >= least)))

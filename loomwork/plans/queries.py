@@ -52,7 +52,7 @@ def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn with the one after it as its target."""
     after = F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))
     turns = table(spark, sf_dir, "conversations")
-    return turns.select(F.concat_ws("/", "conv_id", "turn").alias("uid"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.coalesce("text", F.lit("")).alias("original"), F.coalesce(after, F.lit("")).alias("target"))
+    return turns.select(F.concat_ws("/", "conv_id", "turn").alias("uid"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.coalesce("text", F.lit("")).alias("original"), T.strip(F.col("text")).alias("protected_form"), F.coalesce(after, F.lit("")).alias("target"))
 
 
 def glossary_of(spark: SparkSession) -> DataFrame:

@@ -15,9 +15,9 @@ KEYWORDS = "label jump call menu if elif else while for return pass scene show h
 TOOL_DIRS = ["node_modules", "__pycache__", ".git"]
 
 
-def lines(files: DataFrame) -> DataFrame:
-    """Rows (path, line, raw) of files (path, text); lines count from 1."""
-    return files.select("path", F.posexplode(F.split("text", LINE_END, -1)).alias("i", "raw")).select("path", (F.col("i") + 1).alias("line"), "raw")
+def lines(files: DataFrame, *more: str) -> DataFrame:
+    """Rows (path, more, line, raw) of files (path, text); lines count from 1."""
+    return files.select("path", *more, F.posexplode(F.split("text", LINE_END, -1)).alias("i", "raw")).select("path", *more, (F.col("i") + 1).alias("line"), "raw")
 
 
 def dialogue_lines(files: DataFrame) -> DataFrame:
