@@ -70,26 +70,28 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, n: int = 13, key: str = "
     windows = known.withColumn("s", F.explode(starts)).groupBy("_i", "s").agg(F.slice(F.array_sort(F.collect_list(F.struct("count", "q", "term"))), 1, 2).alias("rare"))
     windows = windows.filter(F.col("rare")[0]["count"] > 0)
     anchors = windows.select("_i", F.posexplode("rare").alias("nth", "x")).select("_i", "nth", F.col("x.q").alias("q"), F.col("x.term").alias("term")).distinct()
-    anchors = anchors.join(items.select("_i", (F.size("iwords") == 1).alias("single")), "_i")
+    anchors = anchors.join(items.select("_i", F.size("iwords").alias("n"), "w"), "_i")
     anchors, hint = bounded(checkpointed(anchors), most)
 
     # The index: postings of the anchor terms.
     postings = checkpointed(tokens(rows).join(hint(anchors.select("term").distinct()), "term", "left_semi"))
-    lists = postings.join(hint(anchors), "term").select("_id", "_h", "_i", (F.col("pos") - F.col("q")).alias("diagonal"), "nth", "single")
-    both = lists.groupBy("_id", "_h", "_i", "diagonal").agg(F.min("nth").alias("low"), F.max("nth").alias("high"), F.first("single").alias("single"))
-    shared = checkpointed(both.filter("(low = 0 and high = 1) or single").select("_id", "_h", "_i", "diagonal"))
+    lists = postings.join(hint(anchors), "term").select("_id", "_h", "_i", "n", "w", (F.col("pos") - F.col("q")).alias("diagonal"), "nth")
+    both = lists.groupBy("_id", "_h", "_i", "n", "w", "diagonal").agg(F.min("nth").alias("low"), F.max("nth").alias("high"))
+    shared = checkpointed(both.filter("(low = 0 and high = 1) or n = 1").drop("low", "high"))
 
     # All windows of the candidates, word by word.
     some, hint = bounded(shared.select("_id", "_h").distinct(), most)
     read = rows.alias("a").join(hint(some).alias("b"), same(rows, some, ["_id", "_h"]), "left_semi").select("_id", "_h", words(F.col("_text")).alias("dwords"))
-    cand = read.alias("a").join(shared.alias("b"), same(read, shared, ["_id", "_h"])).select("a._id", "a._h", "dwords", "_i", "diagonal")
+    # A candidate carries the words beside its item, not the text's: a text of n like words has n diagonals.
+    low = F.greatest(F.lit(0), -F.col("diagonal"))
+    beside = F.slice("dwords", low + F.col("diagonal") + 1, F.col("n") - low)
+    cand = read.alias("a").join(shared.alias("b"), same(read, shared, ["_id", "_h"])).select("a._id", "a._h", "_i", "diagonal", low.alias("low"), beside.alias("beside"))
     few, hint = bounded(items, most // 50)
-    cand = cand.join(hint(few), "_i")
-    at = F.sequence(F.greatest(F.lit(0), -F.col("diagonal")), F.least(F.size("iwords"), F.size("dwords") - F.col("diagonal")) - F.col("w"))
-    fits = (F.least(F.size("iwords"), F.size("dwords") - F.col("diagonal")) - F.col("w")) >= F.greatest(F.lit(0), -F.col("diagonal"))
-    equal = F.filter(at, lambda i: F.slice("iwords", i + 1, F.col("w")) == F.slice("dwords", i + F.col("diagonal") + 1, F.col("w")))
-    out = cand.filter(fits).select("_id", "_h", "item", "w", F.explode(equal).alias("i"), "diagonal")
-    return out.select("_id", "_h", "item", (F.col("i") + F.col("diagonal")).alias("start"), "w").distinct()
+    cand = cand.join(hint(few), "_i").filter(F.size("beside") >= F.col("w"))
+    at = F.sequence(F.lit(0), F.size("beside") - F.col("w"))
+    equal = F.filter(at, lambda i: F.slice("iwords", F.col("low") + i + 1, F.col("w")) == F.slice("beside", i + 1, F.col("w")))
+    out = cand.select("_id", "_h", "item", "w", F.explode(equal).alias("i"), "diagonal", "low")
+    return out.select("_id", "_h", "item", (F.col("i") + F.col("low") + F.col("diagonal")).alias("start"), "w").distinct()
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:

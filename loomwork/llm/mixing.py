@@ -13,6 +13,8 @@ empty input gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,8 +54,8 @@ def water_fill(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
         level = (rest, weights)
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3, seed: int = 7, key: str = "doc_id") -> DataFrame:
-    """Rows (key, source, size, source_size, target, taken) of docs (key, text, source). weights: (source, weight); without it sources by code point weigh 1, 2, 3, repeating."""
+def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3, seed: int = 7, key: str = "doc_id", bucket: int = 4096) -> DataFrame:
+    """Rows (key, source, size, source_size, target, taken) of docs (key, text, source). bucket: about how many texts are put in order in one task. weights: (source, weight); without it sources by code point weigh 1, 2, 3, repeating."""
     own = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     rows = checkpointed(docs.select(F.col(key).alias("_key"), F.col("source").alias("_source"), words(F.col("text")).alias("size"), own.alias("_u")))
     sources = rows.groupBy("_source").agg(F.sum("size").alias("source_size"))
@@ -67,15 +69,26 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3,
     sources = sources.withColumn("_whole", epochs.cast("long"))
     sources = checkpointed(sources.withColumn("_need", F.floor("target") - F.col("_whole") * F.col("source_size")))
 
-    # Words before a text in its source's seeded order: sums of buckets of the key's first byte, then exact sums within the one bucket where the need ends.
-    rows = rows.withColumn("_b", F.substring("_u", 1, 2))
+    # Words before a text in its source's seeded order: sums of buckets of the order's first digits, so many that a bucket
+    # has some thousand texts, then exact sums within the one bucket where the need ends.
+    most = rows.groupBy("_source").count().agg(F.max("count")).first()[0] or 1
+    digits = max(2, min(8, math.ceil(math.log(most / bucket, 16)))) if most > bucket else 2
+    rows = rows.withColumn("_b", F.substring("_u", 1, digits))
     buckets = rows.groupBy("_source", "_b").agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("_source").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     buckets = buckets.withColumn("_before", before).join(sources, F.col("_source").eqNullSafe(F.col("_s"))).drop("_source").withColumnsRenamed({"_b": "_c", "n": "_n"})
     joined = rows.join(buckets, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c"))).drop("_s", "_c")
     split = (F.col("_before") < F.col("_need")) & (F.col("_before") + F.col("_n") > F.col("_need"))
-    inside = F.coalesce(F.sum("size").over(W.partitionBy("_source").orderBy("_u", "size", "_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    edge = joined.filter(split).withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_need") - F.col("_before") - inside)))
+    # Texts alike in order and size (a repeated key, all null keys) are summed first; they are told apart only where the need ends among them.
+    edge = joined.filter(split)
+    alike = edge.groupBy(F.col("_source").alias("_s"), F.col("_u").alias("_v"), F.col("size").alias("_z")).agg(F.count("*").alias("_c"), F.max(F.col("_need") - F.col("_before")).alias("_left"))
+    inside = F.coalesce(F.sum(F.col("_c") * F.col("_z")).over(W.partitionBy("_s").orderBy("_v", "_z").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    alike = alike.withColumn("_left", F.col("_left") - inside)
+    edge = edge.join(alike, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_u") == F.col("_v")) & (F.col("size") == F.col("_z"))).drop("_s", "_v", "_z")
+    among = (F.col("_c") > 1) & (F.col("_left") > 0) & (F.col("_left") < F.col("_c") * F.col("size"))
+    nth = F.row_number().over(W.partitionBy("_source", "_u", "size").orderBy("_key")) - 1
+    extra = lambda nth: F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left") - nth * F.col("size"))).cast("long")
+    some = edge.filter(among).withColumn("_extra", extra(nth)).unionByName(edge.filter(~among).withColumn("_extra", extra(F.lit(0)))).drop("_c", "_left")
     rest = joined.filter(~split).withColumn("_extra", F.when(F.col("_before") < F.col("_need"), F.col("size")).otherwise(0))
     taken = F.col("_whole") * F.col("size") + F.col("_extra")
-    return edge.unionByName(rest).select(F.col("_key").alias(key), F.col("_source").alias("source"), "size", "source_size", "target", taken.alias("taken"))
+    return some.unionByName(rest).select(F.col("_key").alias(key), F.col("_source").alias("source"), "size", "source_size", "target", taken.alias("taken"))

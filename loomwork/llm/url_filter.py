@@ -10,8 +10,7 @@ urls are judged by a scan, without a join.
 
 Null urls and urls without "://" have an empty host and path and no keys. The longest rule wins, of equally
 long ones that with the longer host; a key listed for both actions is blocked. Urls that no rule fits get the
-default verdict. Repeated urls are judged alike, other columns of the input are ignored, an empty input gives
-no rows.
+default verdict. Repeated urls are judged alike, other columns of the input are kept, an empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -87,11 +86,17 @@ class Cascade:
         return out
 
 
-def _filter_of(keys: DataFrame, n: int, level: int, p: float, max_bits: int) -> tuple[np.ndarray, int, int]:
-    """A filter of n keys. Bits are set word by word in Spark; the driver gets the words, of which max_bits bounds the number."""
-    m = max(64, math.ceil(n * math.log2(1 / p) / math.log(2) / 64) * 64)
-    if m > max_bits:
-        raise ValueError(f"the filter needs {m} bits, max_bits is {max_bits}: split the rules and run once for each part")
+#: Words of a filter that reach the driver at once.
+SLICE = 1 << 20
+
+
+def bits_of(n: int, p: float) -> int:
+    return max(64, math.ceil(n * math.log2(1 / p) / math.log(2) / 64) * 64)
+
+
+def _filter_of(keys: DataFrame, n: int, level: int, p: float) -> tuple[np.ndarray, int, int]:
+    """A filter of n keys. Bits are set word by word in Spark; the driver gets the words."""
+    m = bits_of(n, p)
     k = max(1, round(math.log2(1 / p)))
 
     def words(batches):
@@ -100,8 +105,11 @@ def _filter_of(keys: DataFrame, n: int, level: int, p: float, max_bits: int) ->
             yield pd.DataFrame({"w": (at >> np.uint64(6)).astype(np.int64), "b": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
 
     bits = np.zeros(m // 64, np.uint64)
-    for w, b in keys.select("h1", "h2").mapInPandas(words, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        bits[w] = np.uint64(b & (1 << 64) - 1)
+    found = keys.select("h1", "h2").mapInPandas(words, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b"))
+    found = checkpointed(found) if m > 64 * SLICE else found
+    for low in range(0, m // 64, SLICE):  # the driver holds one slice of words beside the filter
+        part = found.filter(F.col("w").between(low, low + SLICE - 1)).toArrow()
+        bits[part["w"].to_numpy()] = part["b"].to_numpy().view(np.uint64)
     return bits, m, k
 
 
@@ -109,13 +117,13 @@ def hashed(keys: DataFrame) -> DataFrame:
     return keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = 1 << 31) -> Cascade:
-    """listed, universe: distinct (h1, h2). max_bits bounds each level, and so what is broadcast."""
+def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
+    """listed, universe: distinct (h1, h2). A level has at most some ten bits a key."""
     out = Cascade()
     n = listed.count()
     if not n:
         return out
-    out.levels.append(_filter_of(listed, n, 0, 0.01, max_bits))
+    out.levels.append(_filter_of(listed, n, 0, 0.01))
 
     def let_through(level: int):
         def kept(batches):
@@ -131,13 +139,31 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = 1 << 3
     inner, outer = keys.filter("listed = 0").drop("listed"), keys.filter("listed = 1").drop("listed")
     while n := inner.count():
         level = len(out.levels)
-        out.levels.append(_filter_of(inner, n, level, 0.5, max_bits))
+        out.levels.append(_filter_of(inner, n, level, 0.5))
         inner, outer = checkpointed(outer.mapInPandas(let_through(level), "h1 long, h2 long")), inner
     return out
 
 
+BLOCK, ALLOW, UNLISTED = 0, 1, 2
+
+
+def _coded(cascades, part: int, parts: int):
+    """A function of a url's keys (two hashes each) and their codes so far: those of this part's keys."""
+
+    @F.pandas_udf("array<int>")
+    def actions(h1: pd.Series, h2: pd.Series, codes: pd.Series) -> pd.Series:
+        ends = np.cumsum([len(x) for x in h1])
+        a, b, c = (np.concatenate([np.asarray(v, np.int64) for v in x]) if len(x) else np.zeros(0, np.int64) for x in (h1, h2, codes))
+        own = np.flatnonzero(b % parts == part)
+        block, allow = (x.contains(a[own], b[own]) for x in cascades.value)
+        c[own] = np.where(block, BLOCK, np.where(allow, ALLOW, UNLISTED))
+        return pd.Series(np.split(c, ends[:-1]) if len(ends) else [])
+
+    return actions
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", default: str = "allow", max_bits: int = 1 << 31) -> DataFrame:
-    """pages with host, path, rule (null if none fits) and verdict. rules: (action, host, path) on the driver, or more of them than fit there as a DataFrame of these columns."""
+    """pages with host, path, rule (null if none fits) and verdict. rules: (action, host, path) on the driver, or more of them than fit there as a DataFrame of these columns. max_bits bounds a filter's first level and so what is broadcast; more rules take more scans. Columns of pages called host, path, rule or verdict give way to those of the result."""
     spark = pages.sparkSession
     rules = rules if isinstance(rules, DataFrame) else spark.createDataFrame(rules, "action string, host string, path string")
     rules = rules.select("action", F.translate("host", UPPER, LOWER).alias("host"), "path")
@@ -150,21 +176,18 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str =
     base = base.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), shapes) if shapes else F.array().cast("array<string>"))
     universe = hashed(base.select(F.explode("_keys").alias("key")).distinct())
     listed = lambda action: hashed(rules.filter(F.col("action") == action).select(F.concat("host", "path").alias("key")).distinct())
-    cascades = spark.sparkContext.broadcast([build_cascade(listed(a), universe, max_bits) for a in ("block", "allow")])
-
-    @F.pandas_udf("array<int>")
-    def actions(h1: pd.Series, h2: pd.Series) -> pd.Series:
-        """0 block, 1 allow, null unlisted, for each key."""
-        sizes = [len(x) for x in h1]
-        a, b = (np.concatenate([np.asarray(v, np.int64) for v in x]) if len(x) else np.zeros(0, np.int64) for x in (h1, h2))
-        block, allow = (c.contains(a, b) for c in cascades.value)
-        codes = [0 if x else 1 if y else None for x, y in zip(block, allow, strict=True)]
-        ends = np.cumsum(sizes)
-        return pd.Series([codes[e - n : e] for n, e in zip(sizes, ends, strict=True)])
-
     h1, h2 = F.transform("_keys", lambda x: F.xxhash64(x)), F.transform("_keys", lambda x: F.xxhash64(F.lit(1), x))
-    out = base.withColumn("_codes", actions(h1, h2))
-    first = F.get(F.filter(F.arrays_zip("_keys", "_codes"), lambda x: x._codes.isNotNull()), F.lit(0))
+    out = base.withColumn("_codes", F.transform("_keys", lambda x: F.lit(UNLISTED)))
+    # Rules whose first levels would be larger than max_bits are split by a hash of the key: a cascade and a scan for each part.
+    parts = -(-bits_of(max(listed("block").count(), listed("allow").count()), 0.01) // max_bits)
+    for part in range(parts):
+        own = lambda keys: keys.filter(F.pmod(F.col("h2"), F.lit(parts)) == part) if parts > 1 else keys
+        cascades = spark.sparkContext.broadcast([build_cascade(own(listed(a)), own(universe)) for a in ("block", "allow")])
+        out = out.withColumn("_codes", _coded(cascades, part, parts)(h1, h2, F.col("_codes")))
+        if parts > 1:
+            out = checkpointed(out)
+            cascades.destroy()
+    first = F.get(F.filter(F.arrays_zip("_keys", "_codes"), lambda x: x._codes != UNLISTED), F.lit(0))
     taken = {"host", "path", "rule", "verdict"}
     verdict = F.when(first._codes == 0, "block").when(first._codes == 1, "allow").otherwise(default)
     return out.select(*[F.col(n).alias(c) for c, n in names.items() if c not in taken], "host", "path", first._keys.alias("rule"), verdict.alias("verdict"))
