@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ def clean(output: Column) -> Column:
 def leaked(value: Column, original: Column) -> Column:
     """Whether a value holds a prompt's words, or is far longer than its original."""
     s, n = T.strip(value), F.length(F.coalesce(original, F.lit("")))
-    marked = F.exists(F.array(*[F.lit(m.lower()) for m in LEAKS]), lambda m: F.contains(F.lower(s), m))
+    marked = s.rlike("(?iu)" + "|".join(re.escape(m) for m in LEAKS))
     return (s != "") & (marked | ((n >= 8) & (F.length(s) > F.greatest(F.lit(64), 6 * n))))
 
 

@@ -235,7 +235,7 @@ def _regrown(said: str, edits: list[dict]) -> tuple[str, int]:
 def _written(path: pd.Series, text: pd.Series, kind: pd.Series, newline: pd.Series, edits: pd.Series) -> pd.DataFrame:
     out = []
     for p, t, k, nl, e in zip(path, text, kind, newline, edits, strict=True):
-        e = [] if e is None else list(e)
+        e = [] if e is None else [{c: int(v) if c in ("line", "start", "row", "col") and v == v and v is not None else v for c, v in x.items()} for x in e]  # numbers beside nulls come as floats
         try:
             new, n = (_regrown(t, e) if k == "json" else _refilled(p, t, e, nl) if k == "csv" else _spliced(t, e, nl)) if e else (t, 0)
         except (ValueError, csv.Error, RecursionError):  # not what its name says: the file stays as it is
