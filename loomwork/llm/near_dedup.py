@@ -236,7 +236,7 @@ def _crossing(buckets: DataFrame, crowd: int | None) -> tuple[DataFrame, DataFra
     return pairs, buckets.join(large, "bucket", "left_semi")
 
 
-def _around(near: DataFrame, threshold: float, block: int = 2048, entries: int = 1 << 22) -> DataFrame:
+def _around(near: DataFrame, threshold: float, block: int = 512, entries: int = 1 << 22) -> DataFrame:
     """Pairs of nodes of different classes near one head (rows node, head, label, j, n, common, added), of which one isn't linked to the head and that can be linked.
 
     x and y have in common at most the smaller `common` of the two and the shingles that both have and the head lacks;
@@ -277,7 +277,8 @@ def _around(near: DataFrame, threshold: float, block: int = 2048, entries: int =
         x, y = node[i[x]], node[j[y]]
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
-    return sent.groupBy("head", "p", "q").applyInArrow(left_open, "a long, b long").distinct()
+    # Rows are dealt by head here; without the repartition all blocks of a head would stay in one task.
+    return sent.repartition("head", "p", "q").groupBy("head", "p", "q").applyInArrow(left_open, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, weighting: str = "set", key: str = "doc_id", text: str = "text", crowd: int = 48, most: int = 500_000) -> DataFrame:
