@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.operators import audit, reconcile, terms
+from loomwork.operators import audit, projects, reconcile, terms
 from loomwork.plans.queries import _KANA, _PREFIX, _STRIP, _TOKENS, _UNITS, glossary_of, register, table, units_of
 from loomwork.sources import files as formats
 from loomwork.sources import game_data
@@ -24,15 +24,26 @@ def _said(*parts) -> F.Column:
     return F.concat(*[F.lit(p[1:]) if p.startswith("'") else F.col(p) for p in parts])
 
 
+def _files(rows: DataFrame, texts: dict) -> DataFrame:
+    """Several files of each row, by suffix: one generator over one scan."""
+    path = lambda suffix: F.concat(F.lit("d/"), F.col("k").cast("string"), F.lit(suffix)).alias("path")
+    return rows.select(F.inline(F.array(*[F.struct(path(suffix), text.alias("text")) for suffix, text in texts.items()])))
+
+
+def _line_texts() -> dict:
+    return {
+        ".txt": _said("'  ", "p_name", "' \r\n12345\r\n\r\n\t", "p_type", "'\r\n"),
+        ".srt": _said("'1\n00:00:01,000 --> 00:00:02,000\n", "p_name", "'\n\n2\n00:00:03,000 --> 00:00:04,000\n", "p_type", "'\n"),
+        ".ass": _said("'[Events]\ndialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,{\\an8}", "p_name", "', ", "p_type", "'\nComment: x\n"),
+        ".yaml": _said("'name: \"", "p_name", "'\"\nempty: ''\nblock: |\nsize: ", "size", "'\n- kind.of: ", "p_type", "'\nnone: null\n"),
+        ".po": _said("'msgid \"", "p_type", "'\"\nmsgstr \"", "p_name", "'\"\n"),
+        ".xml": _said("'<a><b>", "p_name", "'</b><c> ", "p_type", "' </c>\n<d>12</d></a>\n"),
+        "/readme.txt": F.col("p_name"),
+    }
+
+
 def _line_files(spark, sf_dir) -> DataFrame:
-    p = _parts(spark, sf_dir)
-    out = _file(p, ".txt", _said("'  ", "p_name", "' \r\n12345\r\n\r\n\t", "p_type", "'\r\n"))
-    out = out.union(_file(p, ".srt", _said("'1\n00:00:01,000 --> 00:00:02,000\n", "p_name", "'\n\n2\n00:00:03,000 --> 00:00:04,000\n", "p_type", "'\n")))
-    out = out.union(_file(p, ".ass", _said("'[Events]\ndialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,{\\an8}", "p_name", "', ", "p_type", "'\nComment: x\n")))
-    out = out.union(_file(p, ".yaml", _said("'name: \"", "p_name", "'\"\nempty: ''\nblock: |\nsize: ", "size", "'\n- kind.of: ", "p_type", "'\nnone: null\n")))
-    out = out.union(_file(p, ".po", _said("'msgid \"", "p_type", "'\"\nmsgstr \"", "p_name", "'\"\n")))
-    out = out.union(_file(p, ".xml", _said("'<a><b>", "p_name", "'</b><c> ", "p_type", "' </c>\n<d>12</d></a>\n")))
-    return out.union(_file(p, "/readme.txt", F.col("p_name")))
+    return _files(_parts(spark, sf_dir), _line_texts())
 
 
 _LINE_UNITS = """p AS (SELECT 'd/' || p_partkey AS d, p_name AS a, p_type AS b FROM part), u(path, form, line, start, original) AS (
@@ -50,13 +61,18 @@ def file_line_units(spark, sf_dir):
     return formats.line_units(_line_files(spark, sf_dir))
 
 
-def _tables(spark, sf_dir) -> DataFrame:
-    p = _parts(spark, sf_dir)
-    out = _file(p, ".csv", _said("'id,name,kind\r\n", "size", "',\"", "p_name", "', big\",", "p_type", "'\r\n"))
-    out = out.union(_file(p, ".tsv", _said("'id\tname\n", "size", "'\t", "p_type", "'\n")))
+def _table_texts() -> dict:
     lines = F.array(F.struct(F.struct(F.col("p_type").alias("deep"), F.lit(5).alias("n")).alias("in")), F.struct(F.struct(F.col("p_brand").alias("deep"), F.lit(6).alias("n")).alias("in")))
-    out = out.union(_file(p, ".json", F.to_json(F.struct(F.struct(F.col("p_name").alias("start")).alias("menu"), F.col("size"), lines.alias("list")))))
-    return out.union(_file(p, ".bad.json", _said("'{\"a\": ", "p_name")))
+    return {
+        ".csv": _said("'id,name,kind\r\n", "size", "',\"", "p_name", "', big\",", "p_type", "'\r\n"),
+        ".tsv": _said("'id\tname\n", "size", "'\t", "p_type", "'\n"),
+        ".json": F.to_json(F.struct(F.struct(F.col("p_name").alias("start")).alias("menu"), F.col("size"), lines.alias("list"))),
+        ".bad.json": _said("'{\"a\": ", "p_name"),
+    }
+
+
+def _tables(spark, sf_dir) -> DataFrame:
+    return _files(_parts(spark, sf_dir), _table_texts())
 
 
 @register("""SELECT path, row, col, original FROM (SELECT 'd/' || p_partkey || '.csv' AS path, unnest([0, 0, 0, 1, 1]) AS row, unnest([0, 1, 2, 1, 2]) AS col, unnest(['id', 'name', 'kind', p_name || ', big', p_type]) AS original FROM part)
@@ -80,7 +96,7 @@ def file_tree_units(spark, sf_dir):
     SELECT substr(sha1(path || '|' || place || '|' || original), 1, 16) AS uid, path AS source_file, form, CASE WHEN form IN ('line', 'srt', 'ass') THEN 'dialogue' ELSE 'other' END AS kind, original FROM a""")
 def file_unit_rows(spark, sf_dir):
     """Unit rows of all formats, with ids that follow from file, place and text."""
-    return formats.file_units(_line_files(spark, sf_dir).union(_tables(spark, sf_dir))).select("uid", "source_file", "form", "kind", "original")
+    return formats.file_units(_files(_parts(spark, sf_dir), _line_texts() | _table_texts())).select("uid", "source_file", "form", "kind", "original")
 
 
 @register(r"""WITH p AS (SELECT 'd/' || p_partkey AS d, p_name AS a, p_type AS b, p_brand AS c, CAST(p_size AS VARCHAR) AS s FROM part), f(path, text, n_replaced) AS (
@@ -98,7 +114,7 @@ def file_unit_rows(spark, sf_dir):
     SELECT path, replace(replace(replace(replace(text, '\r', chr(13)), '\n', chr(10)), '\t', chr(9)), '!', chr(92)) AS text, CAST(n_replaced AS INTEGER) AS n_replaced, n_replaced > 0 AS changed FROM f""")
 def file_write_back(spark, sf_dir):
     """Every unit's text in angle brackets, back in its file of its format."""
-    files = _line_files(spark, sf_dir).union(_tables(spark, sf_dir))
+    files = _files(_parts(spark, sf_dir), _line_texts() | _table_texts())
     units = formats.file_units(files)
     return formats.write_back(files, units.withColumn("target", F.concat(F.lit("<"), "original", F.lit(">"))))
 
@@ -236,3 +252,49 @@ def package_verdicts(spark, sf_dir):
 @register(f"WITH {_BEST} SELECT game, arg_max(package, ROW(r, created, package)) AS package, arg_max(verdict, ROW(r, created, package)) AS verdict FROM (SELECT *, CASE verdict WHEN 'match' THEN 3 WHEN 'partial' THEN 2 WHEN 'unknown' THEN 1 ELSE 0 END AS r FROM v) GROUP BY game")
 def package_best(spark, sf_dir):
     return reconcile.best_packages(_games(spark, sf_dir), _packages(spark, sf_dir))
+
+
+@register("""WITH u AS (SELECT c_mktsegment AS kind, c_name AS original, CASE WHEN c_custkey % 4 > 0 THEN c_name END AS target FROM customer),
+    k AS (SELECT kind, count(*) AS n FROM u GROUP BY kind)
+    SELECT count(*) AS total, count(target) AS filled, printf('%.1f%%', 100.0 * count(target) / count(*)) AS progress, CAST(sum(length(original)) AS BIGINT) AS chars, (SELECT string_agg(kind || '=' || n, ',' ORDER BY kind) FROM k) AS kinds FROM u""")
+def project_stats(spark, sf_dir):
+    units = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("kind"), F.col("c_name").alias("original"), F.when(F.col("c_custkey") % 4 > 0, F.col("c_name")).alias("target"))
+    kinds = F.array_join(F.transform(F.map_entries("kinds"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return projects.stats(units).withColumn("kinds", kinds)
+
+
+_STATUS = """s AS (SELECT o_orderkey AS game, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 0 THEN 'patched' WHEN o_orderkey % 3 = 0 THEN 'ready' WHEN coalesce(n, 0) > 0 AND done >= n THEN 'translated' WHEN coalesce(n, 0) > 0 AND done > 0 THEN 'progress' WHEN o_orderpriority = '5-LOW' THEN 'unknown' ELSE 'new' END AS status
+    FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_linestatus = 'F') AS done FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
+
+
+def _shown(spark, sf_dir) -> DataFrame:
+    """Orders as games, their lines as units."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("units"), F.count_if(F.col("l_linestatus") == "F").alias("done"))
+    k = F.col("o_orderkey")
+    games = table(spark, sf_dir, "orders").join(lines, k == F.col("l_orderkey"), "left")
+    games = games.select(k.alias("game"), ((F.col("o_orderstatus") == "F") & (k % 2 == 0)).alias("patched"), F.when(k % 3 == 0, "partial").otherwise("mismatch").alias("verdict"), "units", "done", F.when(F.col("o_orderpriority") == "5-LOW", "unknown").otherwise("x").alias("engine"))
+    return projects.status(games)
+
+
+@register(f"WITH {_STATUS} SELECT game, status FROM s")
+def game_status(spark, sf_dir):
+    return _shown(spark, sf_dir).select("game", "status")
+
+
+@register(f"WITH {_STATUS} SELECT count(*) AS total, count(*) FILTER (WHERE status = 'patched') AS patched, count(*) FILTER (WHERE status = 'ready') AS ready, count(*) FILTER (WHERE status IN ('progress', 'translated')) AS progress, count(*) FILTER (WHERE status = 'new') AS new, count(*) FILTER (WHERE status = 'unknown') AS unknown FROM s")
+def library_summary(spark, sf_dir):
+    return projects.summary(_shown(spark, sf_dir))
+
+
+@register("""WITH u AS (SELECT conv_id, turn, coalesce(text, '') AS t, role FROM conversations), g(ord, term, want) AS (VALUES (0, 'the', 'la'), (1, 'tion', 'ung'), (2, 'and', 'und')),
+    h AS (SELECT conv_id, turn, string_agg(term || ' => ' || want, '；' ORDER BY ord) AS terms FROM u, g WHERE contains(t, term) GROUP BY ALL)
+    SELECT conv_id || '/' || turn AS uid, CASE WHEN coalesce(role, '') <> '' THEN '说话人：' || role || chr(10) ELSE '' END || coalesce('术语（必须遵守）：' || terms || chr(10), '') || '目标语言：Deutsch' || chr(10) || chr(10) || '原文：' || chr(10) || t || chr(10) || chr(10) || '请只输出译文：' AS prompt
+    FROM u LEFT JOIN h USING (conv_id, turn)""")
+def unit_prompts(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("uid"), F.coalesce("text", F.lit("")).alias("original"), F.col("role").alias("speaker"), F.lit(None).cast("string").alias("scene"))
+    return projects.prompts(turns, glossary_of(spark).filter("ord < 3"), "Deutsch")
+
+
+@register("SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source")
+def table_bytes(spark, sf_dir):
+    return projects.byte_sums(table(spark, sf_dir, "documents"), "source", "text")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.operators import audit, reconcile, terms
+from loomwork.operators import audit, projects, reconcile, terms
 from loomwork.sources import files as formats
 from loomwork.sources import game_data
 
@@ -126,3 +126,42 @@ def test_package_choice_and_gate(spark):
     assert [r.game for r in reconcile.default_picks(best).collect()] == ["g1"]
     how = spark.createDataFrame([("uid",)] + [("missed",)] * 99, "how string")
     assert reconcile.match_gate(how).first().fits and not reconcile.match_gate(how.filter("how = 'missed'")).first().fits
+
+
+def test_replies_and_reviews(spark):
+    said = ["[1,2,3]", "[]", "```json\n[2]\n```", '{"problems":[4,5]}', '{"1":true,"2":false,"5":true}', "the bad ones are [3] here", "all is well", "", None, '["7", "x", 8]']
+    got = [r.f for r in spark.createDataFrame([(x,) for x in said], "x string").select(projects.flags(F.col("x")).alias("f")).collect()]
+    assert got == [[1, 2, 3], [], [2], [4, 5], [1, 5], [3], None, None, None, [7, 8]]
+    units = spark.createDataFrame([(f"u{i:02}", f"src{i}", "bad" if i % 7 == 0 else "good") for i in range(50)], "uid string, original string, target string")
+
+    def call(items):
+        if items[0][1] == "src40":
+            raise OSError
+        return str([i for i, _, dst in items if dst == "bad"])
+
+    out = {r.uid: (r.code, r.failed) for r in projects.review(units, call, "uid", rate=1.0, size=20).collect()}
+    assert out == {f"u{i:02}": (None, True) if i >= 40 else ("model_flag" if i % 7 == 0 else None, False) for i in range(50)}
+    assert projects.review(units, call, "uid", rate=0.1).count() == 5
+
+
+def test_change_log_files(spark, tmp_path):
+    log, out = f"file://{tmp_path}/log", f"file://{tmp_path}/out"
+    entries = lambda rows: spark.createDataFrame(rows, "uid string, t string, uv int")
+    assert projects.append(entries([]), log) == 0
+    assert projects.append(entries([("u0", "a", 0), ("u2", "c", 1), ("u3", None, 0)]), log) == 2
+    (tmp_path / "log" / "dirty.txt").write_text("not json\n")
+    assert projects.append(entries([("u0", "new", 0), ("nobody", "x", 0)]), log) == 2
+    units = spark.createDataFrame([(f"u{i}", None) for i in range(4)], "uid string, target string")
+    got = {r.uid: (r.target, r.unverified) for r in projects.compact(spark, units, log, out).select("uid", "target", "unverified").collect()}
+    assert got == {"u0": ("new", False), "u1": (None, False), "u2": ("c", True), "u3": (None, False)}
+    assert not (tmp_path / "log").exists()
+
+
+def test_counts_of_projects(spark):
+    units = spark.createDataFrame([("a", "x", "name", True), ("bb", None, None, True), ("c", "", "name", None)], "original string, target string, kind string, unverified boolean")
+    r = projects.stats(units).first()
+    assert (r.total, r.filled, r.progress, r.chars, r.kinds) == (3, 1, "33.3%", 4, {"name": 2, "other": 1})
+    assert tuple(projects.stats(units.limit(0)).first())[:3] == (0, 0, "0%") and projects.unverified(units).count() == 1
+    assert projects.batch_size(units) == 1 and projects.open_examples(units, "original", 1).first().original == "bb"
+    got = units.limit(1).select(projects.token_difference(F.lit("【0】【1】【1】"), F.lit("【1】【2】")).alias("d")).first().d
+    assert (got.missing, got.extra) == (["0"], ["2"])
