@@ -243,3 +243,32 @@ def test_folders_that_executors_don_t_share(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared._folder(Session())
+
+
+def test_near_duplicates_of_a_whole_table(spark):
+    """All classes that a comparison of all pairs by their common shingles gives."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    sets, held = {}, {}
+    for i, t in docs.collect():
+        w = re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+        for s in sets[i]:
+            held.setdefault(s, []).append(i)
+    common = {}
+    for ids in held.values():
+        for n, a in enumerate(ids):
+            for b in ids[:n]:
+                common[a, b] = common.get((a, b), 0) + 1
+    up = {i: i for i in sets}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for (a, b), n in common.items():
+        if n / (len(sets[a]) + len(sets[b]) - n) >= 0.8:
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == {i: top(i) for i in sets}
