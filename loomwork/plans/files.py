@@ -177,10 +177,10 @@ def line_table_units(spark, sf_dir):
 
 # Units whose protected form differs from the original, and literal ones for the rules on scripts that no table holds.
 _LITERALS = [
-    ("c1", "こんにちは", "こんにちは", "你好"), ("c2", "おはようございます", "おはようございます", ""), ("c3", "ギルドの受付", "ギルドの受付", "ギルドの受付"), ("c4", "ありがとう", "ありがとう", "谢谢你啊"), ("c5", "どういたしまして", "どういたしまして", "谢谢你啊"),
-    ("c6", "これはとても長い文章でございまして", "これはとても長い文章でございまして", "短"), ("c7", "お元気ですか", "お元気ですか", "你好元気ですか"), ("c8", "[a]と[b]", "【0】と【1】", "【1】和【2】"), ("c9", "朝です", "朝です", "译文：早上"),
+    ("c1", "おやすみ", "おやすみ", "晚安"), ("c2", "よるかぜ", "よるかぜ", ""), ("c3", "ランタンの油", "ランタンの油", "ランタンの油"), ("c4", "またあした", "またあした", "回头再见"), ("c5", "またこんど", "またこんど", "回头再见"),
+    ("c6", "ふかいもりのおくにあるちいさないえ", "ふかいもりのおくにあるちいさないえ", "家"), ("c7", "しずかなよるだね", "しずかなよるだね", "宁静なよる"), ("c8", "[a]と[b]", "【0】と【1】", "【1】和【2】"), ("c9", "朝です", "朝です", "译文：早上"),
 ]
-_TERMS = [(0, "ギルド", "公会"), (1, "the", "la")]
+_TERMS = [(0, "ランタン", "灯笼"), (1, "the", "la")]
 _PROTECTED = (
     "units AS (SELECT conv_id || '/' || turn AS uid, '{x} ' || coalesce(text, '') AS original, '【0】 ' || coalesce(text, '') AS protected_form, CASE WHEN turn % 4 = 0 THEN '【0】 ' ELSE '' END || coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS target FROM conversations UNION ALL VALUES "
     + ", ".join(str(x) for x in _LITERALS)

@@ -12,11 +12,11 @@ from loomwork.streaming import journal
 
 def test_audit(spark):
     units = [
-        ("u1", "こんにちは", "你好"), ("u2", "おはようございます", ""), ("u3", "ギルドへ行こう", "让我们去公会吧"), ("u4", "ギルドの受付", "ギルドの受付"),
-        ("u5", "ありがとう", "谢谢"), ("u6", "どういたしまして", "谢谢"), ("u7", "これはとても長い日本語の文章でございまして", "短"), ("u8", "こんにちは、元気ですか", "你好，元気ですか"),
+        ("u1", "おやすみ", "晚安"), ("u2", "よるかぜ", ""), ("u3", "ランタンを消して", "请把灯笼熄灭吧"), ("u4", "ランタンの油", "ランタンの油"),
+        ("u5", "またあした", "回头见"), ("u6", "またこんど", "回头见"), ("u7", "ふかいもりのおくにあるちいさないえ", "家"), ("u8", "しずかなよるだね", "宁静なよる"),
     ]
     df = spark.createDataFrame(units, "uid string, original string, target string")
-    glossary = spark.createDataFrame([(0, "ギルド", "公会")], "ord int, term string, want string")
+    glossary = spark.createDataFrame([(0, "ランタン", "灯笼")], "ord int, term string, want string")
     got = {(r.uid, r.code) for r in audit.issues(df, glossary).collect()}
     assert got == {("u2", "empty"), ("u4", "identical"), ("u4", "term_miss"), ("u5", "dup_target"), ("u6", "dup_target"), ("u7", "too_short"), ("u8", "untranslated")}
 
