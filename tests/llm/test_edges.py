@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontamination, embedding_dedup, mixing, near_dedup, pii, queries, shared, suffix_dedup, token_counts, toxicity, url_filter
+from loomwork.llm import chat, decontamination, embedding_dedup, mixing, near_dedup, pii, queries, shared, suffix_dedup, token_counts, toxicity, url_filter
 
 from .test_operators import docs_of, jaccard_classes, prose
 
@@ -272,3 +272,20 @@ def test_near_duplicates_of_a_whole_table(spark):
             a, b = top(a), top(b)
             up[max(a, b)] = min(a, b)
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == {i: top(i) for i in sets}
+
+
+# 5 other templates
+
+
+def test_chat_with_another_template(spark):
+    template = {"mark": "[*", "open": "[*turn ", "middle": "[*says*]", "close": "[*end*]", "loss": ["bot"]}
+    said = [(1, 0, "a[*says*]b", "x [* y \\ \\* [\\*"), (1, 1, "bot", "[*end*][*turn bot"), (2, 0, "bot", "long " * 50_000), (2, 0, "bot", None), (3, 0, "start>user", "")]
+    df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).withColumn("segments", F.lit("own"))
+    machine = {("start", "bot"): "bot", ("bot", "bot"): "bot", ("start", "a[*says*]b"): "bot"}
+    out = chat.format_chat(df, template, machine, ["bot"])
+    rows = out.select("conv_id", "valid", chat.read_turns(F.col("formatted"), template).alias("t"), chat.read_loss(F.col("segments"), template).alias("loss")).collect()
+    back = {r.conv_id: ([(t.role, t.text) for t in r.t], r.loss, r.valid) for r in rows}
+    assert back[1] == ([x[2:] for x in said[:2]], said[1][3], True)
+    assert back[2] == ([("bot", ""), ("bot", said[2][3])], said[2][3], True) and not back[3][2]
+    with pytest.raises(ValueError):
+        chat.format_chat(df, template | {"middle": ": "})
