@@ -236,7 +236,7 @@ def _crossing(buckets: DataFrame, crowd: int | None) -> tuple[DataFrame, DataFra
     return pairs, buckets.join(large, "bucket", "left_semi")
 
 
-def _around(near: DataFrame, threshold: float, block: int = 512, entries: int = 1 << 22) -> DataFrame:
+def _around(near: DataFrame, threshold: float, block: int = 512, entries: int = 1 << 22, most: int = 500_000) -> DataFrame:
     """Pairs of nodes of different classes near one head (rows node, head, label, j, n, common, added), of which one isn't linked to the head and that can be linked.
 
     x and y have in common at most the smaller `common` of the two and the shingles that both have and the head lacks;
@@ -247,7 +247,8 @@ def _around(near: DataFrame, threshold: float, block: int = 512, entries: int =
     sizes = near.groupBy("head").agg(F.count("*").alias("_n"), F.sum(F.size("added")).alias("_s"), F.min("j").alias("_j"), F.min("label").alias("_low"), F.max("label").alias("_high"))
     blocks = F.greatest(F.ceil(F.col("_n") / block), F.ceil(F.col("_s") / entries), F.lit(1))
     sizes = sizes.filter((F.col("_j") < threshold) & (F.col("_low") != F.col("_high"))).select("head", blocks.cast("int").alias("_b"))
-    dealt = near.join(sizes, "head").withColumn("_at", F.pmod(F.xxhash64("node"), F.col("_b")).cast("int")).withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    sizes, hint = bounded(checkpointed(sizes), most)  # without a shuffle by head, in which the nodes of a head would be one task's
+    dealt = near.join(hint(sizes), "head").withColumn("_at", F.pmod(F.xxhash64("node"), F.col("_b")).cast("int")).withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
     first, second = F.least("_at", "_to").alias("p"), F.greatest("_at", "_to").alias("q")
     sent = dealt.select("head", first, second, (F.col("_at") == F.least("_at", "_to")).alias("left"), "node", "label", (F.col("j") < threshold).alias("apart"), "n", "common", "added")
     none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -306,7 +307,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, weig
 
     # What is left: pairs of nodes of different classes with a common head, neither of them the head.
     judged = checkpointed(stars.withColumnsRenamed({"a": "node", "b": "head"}).join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")))
-    pairs = _around(judged.filter("near"), threshold)
+    pairs = _around(judged.filter("near"), threshold, most=most)
     # Far from the head: those below 2 * threshold - 1 can't be linked to what is linked to the head, as 1 - j is a metric.
     apart = judged.filter(F.col("j") < threshold) if weighting == "set" else judged
     shared = checkpointed(held.join(apart.select("node", "head", "label", (~F.col("near")).alias("far")), ["node", "head"]).select("bucket", "node", "label", "far"))
