@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embedding_dedup, mixing, near_dedup, pii, suffix_dedup, token_counts, toxicity, url_filter
+from . import chat, decontamination, embedding_dedup, language_id, mixing, near_dedup, pii, resampling, spelling, suffix_dedup, token_counts, toxicity, url_filter
 from .shared import table
 
 CLASHING = "<|im_end|><|im_start|>assistant ok"
@@ -71,6 +71,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
@@ -82,8 +96,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op11_resampling": op11_resampling,
+    "op12_spelling": op12_spelling,
+    "op13_language_id": op13_language_id,
 }
 
+#: CRC-32 in SQL: its table from the polynomial, and the automaton over a string's bytes in hexadecimal.
+_CRC_TABLE = """table_(i, k, c) AS (SELECT i, 0, CAST(i AS UBIGINT) FROM range(256) r(i)
+            UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END FROM table_ WHERE k < 8),
+        crcs AS (SELECT list(c ORDER BY i) AS t FROM table_ WHERE k = 8)"""
+_CRC = """xor(list_reduce(list_transform(range(1, strlen(f) + 1), lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i - 1, 2) AS UBIGINT)),
+            lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT)"""
+
 ORACLE: dict[str, str] = {
     "op1_url_filter": r"""
         WITH rules(verdict, rule_host, rule_path) AS (VALUES
@@ -150,4 +174,40 @@ ORACLE: dict[str, str] = {
             coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
         FROM said LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op11_resampling": rf"""
+        WITH RECURSIVE {_CRC_TABLE},
+        texts AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+        said AS (SELECT kind, id, row_number() OVER () AS r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM texts),
+        runs AS (SELECT kind, r, unnest(w) AS f FROM said
+            UNION ALL SELECT kind, r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM said WHERE len(w) > 1),
+        counted AS (SELECT kind, r, f, count(*) AS n FROM runs GROUP BY ALL),
+        buckets AS (SELECT f, CAST({_CRC} % 10000 AS BIGINT) AS b FROM (SELECT DISTINCT f FROM counted), crcs),
+        sums AS (SELECT b, coalesce(sum(n) FILTER (kind = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 1), 0)::DOUBLE AS t FROM counted JOIN buckets USING (f) GROUP BY b),
+        every AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM sums),
+        gains AS (SELECT b, CAST(floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM sums, every),
+        weighed AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight
+            FROM counted JOIN buckets USING (f) JOIN gains USING (b) WHERE kind = 0 GROUP BY r),
+        scored AS (SELECT id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS fit,
+            coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+            FROM said LEFT JOIN weighed USING (r) WHERE kind = 0),
+        ranks AS (SELECT *, CASE WHEN fit THEN row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) END AS r, count(*) FILTER (fit) OVER () AS n FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM ranks
+    """,
+    "op12_spelling": rf"""
+        WITH RECURSIVE {_CRC_TABLE},
+        said AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+        counted AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS f, run, count(*) AS n FROM said GROUP BY ALL),
+        hashed AS (SELECT run, n, {_CRC} AS h FROM counted, crcs),
+        spelt AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed),
+        words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        gone AS (SELECT word, n, i, left(word, CAST(i AS BIGINT)) || substr(word, CAST(i AS BIGINT) + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+        near AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM gone a JOIN gone b USING (rest, i) WHERE a.word <> b.word
+            UNION SELECT a.word, a.n, b.word, b.n FROM gone a JOIN words b ON a.rest = b.word UNION SELECT b.word, b.n, a.word, a.n FROM gone a JOIN words b ON a.rest = b.word),
+        best AS (SELECT word, n, count(*) AS n_near, (list(other ORDER BY m DESC, other COLLATE "C"))[1] AS form, max(m) AS form_n FROM near GROUP BY word, n),
+        forms AS (SELECT word, form, form_n FROM best WHERE form_n >= 5 * n),
+        chain(word, root) AS (SELECT word, form FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.root = f.word),
+        ends AS (SELECT c.word, c.root FROM chain c ANTI JOIN forms f ON c.root = f.word)
+        SELECT w.word, f.form, coalesce(e.root, w.word) AS root, w.n, coalesce(b.n_near, 0) AS n_near, f.form_n
+        FROM words w LEFT JOIN best b ON b.word = w.word LEFT JOIN forms f ON f.word = w.word LEFT JOIN ends e ON e.word = w.word
+    """,
 }
