@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import text as T
 from loomwork.operators import ordered, reconcile
 from loomwork.operators.terms import matching
+from loomwork.streaming import store
 
 def is_filled() -> Column:
     return F.coalesce(F.col("target"), F.lit("")) != ""
@@ -118,22 +119,21 @@ def review(units: DataFrame, call: Callable[[list[tuple[int, str, str]]], str],
 
 def append(entries: DataFrame, path: str) -> int:
     """Adds entries (uid, t, uv) with a text to the change log at path, as JSON lines; uv is written only where it is 1. Returns how many."""
-    rows = entries.filter("t is not null").select("uid", "t", F.when(F.col("uv") == 1, F.lit(1)).alias("uv"))
-    n = rows.count()
-    if n:
-        rows.write.mode("append").json(path)
-    return n
+    return store.Log(entries.sparkSession, path).append(entries) if not entries.isEmpty() else 0
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (uid, t, uv, seq) of a change log, in the order in which files were added and lines stand in them; lines that aren't entries are left out."""
-    lines = spark.read.text(path).select("value", F.struct("_metadata.file_modification_time", "_metadata.file_name", F.monotonically_increasing_id().alias("line")).alias("seq"))
-    return lines.select(F.from_json("value", "uid string, t string, uv int").alias("x"), "seq").filter("x.uid is not null and x.t is not null").select("x.*", "seq")
+    """Rows (uid, t, uv, seq) of a change log; seq is the order of appends, and of the rows in them; lines that aren't entries are left out."""
+    return store.Log(spark, path).read()
 
 
 def compact(spark: SparkSession, units: DataFrame, log: str, out: str) -> DataFrame:
-    """units (uid, target) with the log's last entries written in, saved at out; then the log is deleted."""
-    reconcile.replay(units.drop("unverified"), read_log(spark, log)).write.json(out)
-    at = spark._jvm.org.apache.hadoop.fs.Path(log)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    return spark.read.json(out)
+    """units (uid, target) with the log's last entries written in, saved at out with all columns; then the batches that were read are deleted, and a log without others."""
+    entries = store.Log(spark, log)
+    read = entries.done()
+    done = reconcile.replay(units.drop("unverified"), entries.read())
+    done.write.option("ignoreNullFields", "false").json(out)
+    entries.drop(read)
+    if not entries.done() and not [n for n in entries.folder.names("") if n.startswith("batch=")]:
+        entries.folder.delete("")
+    return spark.read.schema(done.schema).json(out)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.plans.queries import _S, _STRIP, register, table
+from loomwork.plans.queries import _JOURNAL, _S, _STRIP, journal_of, register, table
 from loomwork.sources import listing, plugins, sink
+from loomwork.streaming import store
 from loomwork.tables import checkpointed, shared_folder
 
 
@@ -72,3 +73,22 @@ def file_sink(spark, sf_dir):
         sink.write_files(files, to)
     edited = files.withColumn("data", F.when(F.col("data").contains("a") & (F.length("data") % 3 == 0), F.concat("data", F.lit("!"))).otherwise(F.col("data")))
     return sink.write_files(edited, dest, source)
+
+
+@register(f"""WITH {_JOURNAL}, last AS (SELECT uid, arg_max(t, seq) AS t, arg_max(uv, seq) AS uv FROM journal WHERE t IS NOT NULL GROUP BY uid)
+    SELECT uid, uid % 7 AS kind, t AS target, coalesce(uv = 1, false) AS unverified FROM (SELECT DISTINCT uid FROM journal) LEFT JOIN last USING (uid)""")
+def journal_store(spark, sf_dir):
+    """Events as entries: files of them are streamed into a project's log, which is compacted between two streams."""
+    journal, folder = checkpointed(journal_of(spark, sf_dir)), shared_folder(spark)
+    project = store.Project(spark, f"{folder}/project")
+    project.save(journal.select("uid", (F.col("uid") % 7).alias("kind"), F.lit(None).cast("string").alias("target")).distinct(), {"name": "events"})
+    middle = journal.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0] or 0
+    halves = [F.col("seq") <= middle, F.col("seq") > middle]
+    for half in halves:  # one file after the other, so that the stream sees them in this order
+        journal.filter(half).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(journal.schema).parquet(f"{folder}/in")
+        store.into(stream, project.log, "events", f"{folder}/checkpoint", "seq").trigger(availableNow=True).start().awaitTermination()
+        if half is halves[0]:
+            project.compact()
+    loaded = project.load()
+    return loaded.select("uid", "kind", "target", "unverified")

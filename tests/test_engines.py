@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from loomwork import registry
 from loomwork.plans import engines
+from loomwork.operators import reconcile
 from loomwork.sources import listing, plugins, sink
+from loomwork.streaming import store
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,7 +31,7 @@ def agrees(spark, name):
     assert sorted(map(tuple, mine), key=str) == sorted(rows, key=str)
 
 
-@pytest.mark.parametrize("name", ["plugin_nodes", "plugin_paragraphs", "plugin_put_back", "folder_listing", "file_sink"])
+@pytest.mark.parametrize("name", ["plugin_nodes", "plugin_paragraphs", "plugin_put_back", "folder_listing", "file_sink", "journal_store"])
 def test_queries(spark, name):
     assert name in __spark_entry__.queries()
     agrees(spark, name)
@@ -133,3 +135,88 @@ def test_sink(spark, tmp_path):
 def test_part_files_are_whole(spark):
     files = engines._part_files(spark, SF)
     assert files.select(F.sum(F.size(F.split("data", "\n")))).first()[0] == spark.read.parquet(f"{SF}/part.parquet").count()
+
+
+ENTRIES = "uid string, t string, uv int"
+
+
+def test_log(spark, tmp_path):
+    log = store.Log(spark, f"file://{tmp_path}/log")
+    assert log.read().count() == 0 and log.append(spark.createDataFrame([], ENTRIES)) == 0
+    # Of two partitions the later row counts, though its task may end first.
+    rows = spark.range(0, 2000, 1, 2).select(F.lit("u").alias("uid"), F.col("id").cast("string").alias("t"), F.lit(0).alias("uv"))
+    slow = rows.withColumn("t", F.when((F.col("t") < 1000) & F.expr("reflect('java.lang.Thread', 'sleep', 1L) is not null"), F.col("t")).otherwise(F.col("t")))
+    assert log.append(slow) == 2000
+    assert [tuple(r) for r in reconcile.latest(log.read()).collect()] == [("u", "1999", 0)]
+    assert log.append(spark.createDataFrame([("u", "z", 1), ("v", None, 0), (None, "x", 0), ("w", "", 0)], ENTRIES)) == 2
+    assert sorted(map(tuple, reconcile.latest(log.read()).collect())) == [("u", "z", 1), ("w", "", 0)]
+    (tmp_path / "log/batch=9").mkdir()  # of a job that hasn't ended
+    (tmp_path / "log/batch=9/part-0.json").write_text('{"uid": "u", "t": "half"}')
+    (tmp_path / "log/batch=2/dirty.json").write_text("not json\n{}\n[1]\n")
+    assert sorted(map(tuple, reconcile.latest(log.read()).collect())) == [("u", "z", 1), ("w", "", 0)]
+    one = spark.createDataFrame([("n", "1", 0)], ENTRIES)
+    assert (log.append(one, "named"), log.append(one, "named")) == (1, -1) and log.done() == [1, 2, 3, 4]
+
+
+def test_project(spark, tmp_path):
+    project = store.Project(spark, f"file://{tmp_path}/p")
+    assert project.meta() == {} and project.versions() == []
+    with pytest.raises(FileNotFoundError):
+        project.load()
+    units = spark.createDataFrame([(f"u{i}", None, None, 1) for i in range(4)], "uid string, target string, note string, n int").withColumn("d", F.lit("2020-01-01").cast("date")).withColumn("tags", F.array(F.lit("a")))
+    project.save(units, {"name": "é"})
+    add = lambda *rows: project.log.append(spark.createDataFrame(list(rows), ENTRIES))
+    add(("u0", "a", 0), ("u1", "b", 1), ("nobody", "x", 0))
+    found = lambda: {r.uid: (r.target, r.unverified) for r in project.load().collect()}
+    want = {"u0": ("a", False), "u1": ("b", True), "u2": (None, False), "u3": (None, False)}
+    assert found() == want and not project.finish()
+    assert project.compact({"more": 1}) == 2
+    assert found() == want and project.meta() == {"name": "é", "more": 1} and project.log.done() == []
+    assert dict(units.dtypes).items() <= dict(project.load().dtypes).items()
+    # A compaction that broke off: its batches are still there, the version is finished or isn't.
+    add(("u1", "c", 0), ("u2", "d", 0))
+    want |= {"u1": ("c", False), "u2": ("d", False)}
+    read = project.log.done()
+    project.save(project.load(), holds=read)
+    add(("u2", "e", 0))
+    want["u2"] = ("e", False)
+    assert found() == want and len(project.log.done()) == 2
+    (tmp_path / "p/v=9/units").mkdir(parents=True)
+    assert found() == want
+    project.compact()
+    add(("u3", "f", 1))
+    assert found() == want | {"u3": ("f", True)} and project.finish()
+    assert project.meta() == {"name": "é", "more": 1, "units": 4, "filled": 4, "unverified": 1, "finished": True}
+
+
+def test_stream_into_project(spark, tmp_path):
+    project = store.Project(spark, f"file://{tmp_path}/p")
+    project.save(spark.createDataFrame([(f"u{i}", None) for i in range(5)], "uid string, target string"))
+    came = tmp_path / "in"
+
+    def add(n, rows):
+        spark.createDataFrame(rows, ENTRIES).coalesce(1).write.mode("append").json(f"file://{came}")
+        time.sleep(0.05)
+
+    def run(fails=None):
+        class Breaking(store.Log):
+            def append(self, entries, name=None, order=None):
+                n = super().append(entries, name, order)
+                if name == fails:
+                    raise RuntimeError("after the batch, before the stream's own commit")
+                return n
+
+        stream = spark.readStream.schema(ENTRIES).option("maxFilesPerTrigger", 1).json(f"file://{came}")
+        store.into(stream, Breaking(spark, project.log.path), "s", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+
+    for n in range(4):
+        add(n, [("u0", f"a{n}", 0), (f"u{n + 1}", f"b{n}", n % 2)])
+    with pytest.raises(Exception, match="before the stream"):
+        run(fails="s-1")
+    assert len(project.log.done()) == 2
+    project.compact()
+    run()
+    assert len(project.log.done()) == 2  # the batch that had been written wasn't again
+    assert {r.uid: (r.target, r.unverified) for r in project.load().collect()} == {"u0": ("a3", False), "u1": ("b0", False), "u2": ("b1", True), "u3": ("b2", False), "u4": ("b3", True)}
+    run()
+    assert len(project.log.done()) == 2
