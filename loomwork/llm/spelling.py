@@ -11,7 +11,7 @@ with each step a chain is short.
 
 Null and empty texts have no words. A word's count is over all rows, repeated rows count again. Ties of frequency go to
 the smaller word by code points. An empty table gives no rows; other columns are ignored, whatever their names. Runs of
-letters of any length are words; they are read one by one, so that of a long text no list of words is held.
+letters of any length are words; of a long text no more than `table_size` are held at once.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,7 @@ def word_counts(docs: DataFrame, typo: int = 199, key: str = "doc_id", text: str
 
         def added(own: Counter[str], begin: int) -> None:
             for w, n in own.items():
+                w = w.translate(_LOWER)
                 if typo:
                     h = zlib.crc32(w.encode(), begin)
                     if h % typo == 0:
@@ -58,8 +61,9 @@ def word_counts(docs: DataFrame, typo: int = 199, key: str = "doc_id", text: str
             for a, b, texts in slices(batch.column(1)):
                 for k, t in zip(keys.slice(a, b - a).to_pylist(), texts, strict=True):
                     begin, own = zlib.crc32(f"{'' if k is None else k}:".encode()), Counter()
-                    for m in LETTERS.finditer(t):
-                        own[m[0].translate(_LOWER)] += 1
+                    found = map(itemgetter(0), LETTERS.finditer(t))
+                    while some := list(islice(found, table_size)):
+                        own.update(some)
                         if len(own) > table_size:
                             added(own, begin)
                             own.clear()
