@@ -49,19 +49,19 @@ def carry_forward(rows: DataFrame, group: str, order: str, value: Column) -> Dat
     return rows.withColumn("carried", F.last(value, ignorenulls=True).over(W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
 
 
-def budget_trim(rows: DataFrame, group: str, delta: str, key: str, budget: int) -> DataFrame:
-    """rows with dropped: from the largest delta down rows go until what is left of their group fits the budget; those that don't grow stay."""
+def budget_trim(rows: DataFrame, group: str, delta: str, key: str, budget: int | str) -> DataFrame:
+    """rows with dropped: from the largest delta down rows go until what is left of their group fits the budget (a number, or a column that is one number in each group); those that don't grow stay."""
     # What lies before a delta is summed over a group's different deltas; only the one inside which the budget ends is put in order.
     w = W.partitionBy("_g")
-    values = rows.groupBy(F.col(group).alias("_g"), F.col(delta).alias("_d")).agg(F.count("*").alias("_n"))
+    values = rows.groupBy(F.col(group).alias("_g"), F.col(delta).alias("_d")).agg(F.count("*").alias("_n"), F.max(F.col(budget) if isinstance(budget, str) else F.lit(budget)).alias("_b"))
     sized = F.col("_n") * F.coalesce("_d", F.lit(0))
     before = F.coalesce(F.sum(sized).over(w.orderBy(F.desc("_d")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     values = values.withColumn("_left", F.sum(sized).over(w) - before)
     names = rows.columns
     joined = rows.join(values, rows[group].eqNullSafe(F.col("_g")) & rows[delta].eqNullSafe(F.col("_d")))
-    some = F.coalesce(F.col("_d") > 0, F.lit(False)) & (F.col("_left") > budget)
-    whole = F.col("_left") - (F.col("_n") - 1) * F.col("_d") > budget
+    some = F.coalesce(F.col("_d") > 0, F.lit(False)) & (F.col("_left") > F.col("_b"))
+    whole = F.col("_left") - (F.col("_n") - 1) * F.col("_d") > F.col("_b")
     split = some & ~whole
     nth = F.row_number().over(W.partitionBy("_g", "_d").orderBy(key)) - 1
-    edge = joined.filter(split).withColumn("dropped", F.col("_left") - nth * F.col("_d") > budget)
+    edge = joined.filter(split).withColumn("dropped", F.col("_left") - nth * F.col("_d") > F.col("_b"))
     return joined.filter(~split).withColumn("dropped", some).union(edge).select(*names, "dropped")
