@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: a text is toxic if any of its sentences is.
 
-A sentence's probability is the logistic of the summed weights of its words and their beginnings, a text's the noisy-or of its
-sentences. The weights are trained from labels of texts alone, by the gradient of the texts' likelihood, on a
+A sentence's probability is the logistic of the summed weights of its words, of their beginnings, and of beginnings that
+the text has had before; a text's is the noisy-or of its sentences. What a sentence holds several times counts once. The weights are trained from labels of texts alone, by the gradient of the texts' likelihood, on a
 bounded sample of labelled texts; the sentences that raise a text's score are then located by their own
 probability. Scoring is a scan: nothing is shuffled.
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD_BYTES, folded, pieces, slices, span_hashes
+from .shared import WORD_BYTES, folded, mixed, pieces, slices, span_hashes
 
 FEATURES = 1 << 20
 #: Beside a whole word its first 4, 5 and 6 bytes are features.
@@ -49,10 +49,21 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     words, owners = [span_hashes(low, starts, ends)], [sentence]
     for n in PREFIXES:  # words alike but for their endings share these
         longer = np.flatnonzero(ends - starts > n)
-        words.append(span_hashes(low, starts[longer], starts[longer] + n))
-        owners.append(sentence[longer])
-    words = (np.concatenate(words) & np.uint64(FEATURES - 1)).astype(np.int32)
-    return words, np.concatenate(owners), text, begin - first[text], stops[used] - first[text] if len(used) else begin
+        h = span_hashes(low, starts[longer], starts[longer] + n)
+        again = _repeats(text[sentence[longer]], h)  # a text's second such word tells more than its first
+        words += [h, mixed(h[again] + np.uint64(1))]
+        owners += [sentence[longer], sentence[longer][again]]
+    # A feature counts once in a sentence, however often a word is repeated there.
+    once = np.unique(np.concatenate(owners).astype(np.int64) * FEATURES + (np.concatenate(words) & np.uint64(FEATURES - 1)).astype(np.int64))
+    return (once % FEATURES).astype(np.int32), (once // FEATURES).astype(np.int32), text, begin - first[text], stops[used] - first[text] if len(used) else begin
+
+
+def _repeats(text: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the hashes stand in their text for the second time or later."""
+    order = np.lexsort((np.arange(len(h)), h, text))
+    again = np.zeros(len(h), bool)
+    again[1:] = (h[order][1:] == h[order][:-1]) & (text[order][1:] == text[order][:-1])
+    return order[again]
 
 
 def _chances(weights: np.ndarray, bias: float, words: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
