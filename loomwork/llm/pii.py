@@ -1,13 +1,15 @@
 """Personal data by bootstrapped contextual extraction.
 
 Seeds are what four base patterns find in whole texts (e-mail addresses, IP addresses, card numbers that pass Luhn,
-phone numbers) and, of a fifth kind, strings that look random: tokens of 16 and more letters and digits that change
-into each other four times. A seed's lexical patterns are the two tokens before it, the one before it, the two before
+phone numbers) and, of a fifth kind, strings that are random beyond doubt: tokens of 16 and more letters and digits that
+change into each other once in three signs. Many random strings don't; they, and identifiers of any other form, are
+found by the patterns alone. A seed's lexical patterns are the two tokens before it, the one before it, the two before
 that one (a gap of one token) and the two behind it, of random ones also their first four letters. Patterns that
 stand at no fewer than `support` different seeds are looked up in all texts: what stands there forms a graph of
-patterns and instances. Spark scores it in rounds: a pattern's score for a kind is the sum of its different
-instances' scores over all different things that stand there, ordinary words included; an instance's score is 1 for
-a seed and else the noisy-or of its patterns. Tokens with a digit or an @ at a pattern of at least `confidence` are
+patterns and instances. Spark scores it in rounds: a pattern's score for a kind is the sum of its different instances'
+scores over all different things that stand there, ordinary words included; an instance's score is 1 for a seed and
+else the noisy-or of its patterns. What may be a secret by its shape, being long and mixed, counts against a pattern
+of secrets no more than it counts for it. Tokens with a digit or an @ at a pattern of at least `confidence` are
 finds of its kind; those of cards and phone numbers go on over further groups of digits, with the blanks, hyphens
 and brackets that the kind has. What is found counts as a seed in the next cycle: other patterns at its places are
 looked up as well, for `cycles` cycles or until no pattern is new. Random strings are finds only at such patterns.
@@ -40,6 +42,8 @@ from .shared import bounded, checkpointed, folded, mixed, rowed, slices, span_ha
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 SECRET = 4
+#: In place of a kind: identifiers of none, those that may be secrets by their shape, ordinary words.
+OPEN, SHAPED, PLAIN = -3, -1, -2
 _SIGNS = re.compile("[0-9@]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _RANDOM = re.compile(r"[A-Za-z0-9_+-]{16,}")
@@ -53,6 +57,8 @@ _PLACES = [(-2, -1), (-1, -1), (-3, -2), (1, 2)]
 RIGHT, BEGIN, SIDES = 3, 4, 5  # the last side is a token's own beginning: its first four letters
 #: Least length of a find of the method: characters, of cards and phone numbers digits.
 LEAST = [3, 3, 4, 3, 8]
+#: How often a seed that is a random string changes between letters and digits, in so many signs.
+CHANGES = 1, 3
 #: Hashes of ordinary words that a task passes on for a pattern; different ordinary words for a seed, above which a pattern is dropped.
 SKETCH, ORDINARY = 64, 4
 _MOST = np.uint64((1 << 63) - 1)
@@ -132,7 +138,13 @@ def contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def _random(text: str, start: int, end: int) -> bool:
-    """Whether a token looks like a random string."""
+    """Whether a token is random beyond doubt, so that it may be a seed."""
+    token = text[start:end].rstrip(".-_@+%")
+    return bool(_RANDOM.fullmatch(token)) and len(_CHANGE.findall(token)) * CHANGES[1] >= len(token) * CHANGES[0]
+
+
+def _mixed_up(text: str, start: int, end: int) -> bool:
+    """Whether a token has the shape of a secret, which alone makes it neither a seed nor a find."""
     token = text[start:end].rstrip(".-_@+%")
     return bool(_RANDOM.fullmatch(token)) and len(_CHANGE.findall(token)) >= 4
 
@@ -243,7 +255,7 @@ class Ordinary:
 
 
 def _followers(rows: DataFrame, wanted: np.ndarray, seeds: np.ndarray) -> DataFrame:
-    """What stands at the wanted contexts (sorted; seeds: how many they have): identifiers with their places (kind -1; spans: one for each kind; all: all contexts of the place), ordinary words as sketches (kind -2, bound)."""
+    """What stands at the wanted contexts (sorted; seeds: how many they have): identifiers with their places (kind OPEN or SHAPED; spans: one for each kind; all: all contexts of the place), ordinary words as sketches (kind PLAIN, bound)."""
     shared = rows.sparkSession.sparkContext.broadcast((wanted, seeds))
     names = ["_id", "_h", "ctx", "inst", "kind", "spans", "all", "bound"]
     pair = pa.struct([("start", pa.int32()), ("end", pa.int32())])
@@ -282,20 +294,20 @@ def _followers(rows: DataFrame, wanted: np.ndarray, seeds: np.ndarray) -> DataFr
                             extents_[place] = extents(text, a, b, own, side == RIGHT)
                         if ends := [x for x in extents_[place] if x[1]]:
                             p, q = min(ends)[0], max(x[1] for x in ends)
-                            found.append((lo + d, int(ctx[i]), _instance(text[p:q].lower()), extents_[place], around[:, i].tolist()))
+                            found.append((lo + d, int(ctx[i]), _instance(text[p:q].lower()), extents_[place], around[:, i].tolist(), SHAPED if _mixed_up(text, a, b) else OPEN))
                         else:
                             plain[j] = True
                     words.add(at[plain], h[near[plain]])
                 if found:
-                    i, c, x, e, all_ = zip(*found, strict=True)
+                    i, c, x, e, all_, open_ = zip(*found, strict=True)
                     n = len(i)
                     lists = pa.array([[{"start": p, "end": q} for p, q in each] for each in e], pa.list_(pair))
                     ids = [batch.column(k).take(pa.array(i, pa.int64())) for k in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([*ids, pa.array(c, pa.int64()), pa.array(x, pa.int64()), pa.array([-1] * n, pa.int32()), lists, pa.array(all_, pa.list_(pa.int64())), pa.nulls(n, pa.int64())], names)
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(c, pa.int64()), pa.array(x, pa.int64()), pa.array(open_, pa.int32()), lists, pa.array(all_, pa.list_(pa.int64())), pa.nulls(n, pa.int64())], names)
         if kind is not None:
             at, word, bound = words.sketches()
             n = len(at)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.array(known[at]), pa.array(word), pa.array([-2] * n, pa.int32()), pa.nulls(n, pa.list_(pair)), pa.nulls(n, pa.list_(pa.int64())), pa.array(bound)], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.array(known[at]), pa.array(word), pa.array([PLAIN] * n, pa.int32()), pa.nulls(n, pa.list_(pair)), pa.nulls(n, pa.list_(pa.int64())), pa.array(bound)], names)
 
     kind = rows.schema["_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"_id {kind}, _h long, ctx long, inst long, kind int, spans array<struct<start: int, end: int>>, all array<long>, bound long")
@@ -303,31 +315,39 @@ def _followers(rows: DataFrame, wanted: np.ndarray, seeds: np.ndarray) -> DataFr
 
 def ordinary(edges: DataFrame) -> DataFrame:
     """Rows (ctx, plain): the number of different ordinary words, from the sketches of all tasks; infinite for dropped patterns."""
-    plain = edges.filter("kind = -2")
+    plain = edges.filter(F.col("kind") == PLAIN)
     least = plain.groupBy("ctx").agg(F.min("bound").alias("least"))
     below = plain.select("ctx", "inst").distinct().join(least, "ctx").groupBy("ctx", "least").agg(F.sum(F.when(F.col("inst") < F.col("least"), 1).otherwise(0)).alias("n"))
     return below.select("ctx", F.when(F.col("least") == 0, float("inf")).otherwise(F.col("n") / (F.col("least") / float(1 << 63))).alias("plain"))
 
 
-def score_patterns(edges: DataFrame, seeds: DataFrame, rounds: int = 3) -> DataFrame:
+def score_patterns(edges: DataFrame, seeds: DataFrame, rounds: int = 4) -> DataFrame:
     """Rows (ctx, kind, score) of edges (of _followers) and seeds (ctx, inst, kind), at the contexts of `edges` and seeds alike. Copies count once, ordinary words too."""
-    graph = checkpointed(edges.filter("kind = -1").select("ctx", "inst", "kind").union(seeds.select("ctx", "inst", "kind")).groupBy("ctx", "inst").agg(F.max("kind").alias("kind")))
-    some = graph.groupBy("ctx").agg(F.count("*").alias("different"), F.sum(F.when(F.col("kind") >= 0, 1).otherwise(0)).alias("s")).join(ordinary(edges), "ctx", "left")
-    size = checkpointed(some.filter(F.coalesce("plain", F.lit(0.0)) <= ORDINARY * F.greatest("s", F.lit(1))).select("ctx", (F.col("different") + F.coalesce("plain", F.lit(0.0))).alias("size")))
-    fixed = graph.filter("kind >= 0").groupBy("ctx", "kind").agg(F.count("*").cast("double").alias("mass"))
-    scores = fixed.join(size, "ctx").select("ctx", "kind", (F.col("mass") / F.col("size")).alias("score"))
-    open_ = graph.filter("kind = -1").select("ctx", "inst")
+    found = edges.filter(F.col("kind") != PLAIN).select("ctx", "inst", "kind").union(seeds.select("ctx", "inst", "kind"))
+    graph = checkpointed(found.groupBy("ctx", "inst").agg(F.max("kind").alias("kind")))
+    shaped = F.col("kind") == SHAPED
+    some = graph.groupBy("ctx").agg(F.count("*").alias("different"), F.count_if(F.col("kind") >= 0).alias("s"), F.count_if(shaped).alias("shaped")).join(ordinary(edges), "ctx", "left")
+    plain = F.coalesce("plain", F.lit(0.0))
+    size = checkpointed(some.filter(plain <= ORDINARY * F.greatest("s", F.lit(1))).select("ctx", (F.col("different") + plain).alias("size"), "shaped"))
+    fixed = graph.filter("kind >= 0").groupBy("ctx", "kind").agg(F.count("*").cast("double").alias("mass"), F.lit(0.0).alias("of_shaped"))
+    open_ = graph.filter("kind < 0").select("ctx", "inst", shaped.alias("shaped"))
+
+    def scored(masses: DataFrame) -> DataFrame:
+        neutral = F.when(F.col("kind") == SECRET, F.col("shaped") - F.col("of_shaped")).otherwise(0)
+        return masses.join(size, "ctx").select("ctx", "kind", (F.col("mass") / (F.col("size") - neutral)).alias("score"))
+
+    scores = scored(fixed)
     for _ in range(rounds):
         scores = checkpointed(scores)
         sure = F.lit(1.0) - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))
         # The sides of one place aren't independent: noisy-or within a side, the largest of the sides.
         guessed = open_.join(scores, "ctx").groupBy("inst", "kind", F.col("ctx").bitwiseAND(7).alias("side")).agg(sure.alias("s")).groupBy("inst", "kind").agg(F.max("s").alias("s"))
-        more = open_.join(guessed, "inst").groupBy("ctx", "kind").agg(F.sum("s").alias("mass"))
-        scores = fixed.union(more).groupBy("ctx", "kind").agg(F.sum("mass").alias("mass")).join(size, "ctx").select("ctx", "kind", (F.col("mass") / F.col("size")).alias("score"))
+        more = open_.join(guessed, "inst").groupBy("ctx", "kind").agg(F.sum("s").alias("mass"), F.sum(F.when(F.col("shaped"), F.col("s")).otherwise(0.0)).alias("of_shaped"))
+        scores = scored(fixed.union(more).groupBy("ctx", "kind").agg(F.sum("mass").alias("mass"), F.sum("of_shaped").alias("of_shaped")))
     return checkpointed(scores)
 
 
-def extract(docs: DataFrame, support: int = 5, confidence: float = 0.8, rounds: int = 3, cycles: int = 3, key: str = "doc_id", text: str = "text", most: int = 2_000_000) -> DataFrame:
+def extract(docs: DataFrame, support: int = 5, confidence: float = 0.8, rounds: int = 4, cycles: int = 3, key: str = "doc_id", text: str = "text", most: int = 2_000_000) -> DataFrame:
     """Rows (_id, _h, base, added), one for each row of docs; base, added: arrays of (kind, start, end), kind as the index in KINDS. most bounds the number of patterns looked up in one scan; more of them take more scans."""
     rows = keyed(docs, key, text)
     found = checkpointed(_seeds(rows))
@@ -347,7 +367,7 @@ def extract(docs: DataFrame, support: int = 5, confidence: float = 0.8, rounds:
         looked = wanted.select("ctx") if looked is None else looked.union(wanted.select("ctx"))
         good = score_patterns(edges, seeds.join(looked, "ctx", "left_semi"), rounds).filter(F.col("score") >= confidence)
         best = checkpointed(good.groupBy("ctx").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("k"), F.max("score").alias("score")))
-        hits = checkpointed(edges.filter("kind = -1").join(best, "ctx").withColumn("s", F.get("spans", F.col("k"))).filter("s.end > s.start").select("_id", "_h", "k", "s", "score", "inst", "all"))
+        hits = checkpointed(edges.filter(F.col("kind") != PLAIN).join(best, "ctx").withColumn("s", F.get("spans", F.col("k"))).filter("s.end > s.start").select("_id", "_h", "k", "s", "score", "inst", "all"))
         marks = seeds.select("ctx", "inst").union(hits.select(F.explode("all").alias("ctx"), "inst").filter("ctx <> 0"))
     of = F.filter("spans", lambda s: s["kind"] < SECRET)
     plain = found.select("_id", "_h", F.transform(of, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"))
