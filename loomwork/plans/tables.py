@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
+from loomwork.operators import batches, splice
 from loomwork.plans.queries import _STRIP, register, table
 from loomwork.sources import encodings, language_tables, string_tables
+from loomwork.tables import checkpointed
 
 
 def _trees(spark, sf_dir):
@@ -106,3 +110,43 @@ def encodings_by_trial(spark, sf_dir):
     WHEN regexp_matches(lower(coalesce(text, '')), 'english|enus|engb') THEN NULL ELSE 'unknown' END AS why, {_STRIP('text')} <> '' AS said FROM conversations""")
 def language_gates(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", string_tables.language_gate(F.coalesce("text", F.lit(""))).alias("why"), (T.strip(F.col("text")) != "").alias("said"))
+
+
+def _dialogues(spark, sf_dir):
+    """For each brand and type a node: a line for each part with a speaker, a tag and a command."""
+    line = F.concat("p_type", F.lit(": "), "p_name", F.lit(" size <<if $a>> #line:a"), F.col("p_partkey").cast("string"))
+    rows = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("l"), "p_name", "p_size"))).alias("x"))
+    return rows.withColumn("path", F.concat_ws("/", "p_brand", "p_type"))
+
+
+@register("""WITH x AS (SELECT *, p_brand || '/' || p_type AS path, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) + 2 AS line, p_name || ' size' AS body FROM part),
+    y AS (SELECT *, CASE p_size % 6 WHEN 0 THEN 'new // ' || body WHEN 1 THEN body || chr(10) || 'x' WHEN 2 THEN body || ' #tag' WHEN 3 THEN '' ELSE body || '!' END AS target,
+        CASE p_size % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'lines' WHEN 2 THEN 'text' WHEN 3 THEN 'unfilled' END AS why FROM x)
+    SELECT path, 'title: n' || chr(10) || '---' || chr(10) || string_agg(p_type || ': ' || CASE WHEN why IS NULL THEN target ELSE body END || ' <<if $a>> #line:a' || p_partkey, chr(10) ORDER BY line) || chr(10) || '===' AS text,
+        count(*) FILTER (why IS NULL) AS n_replaced, count(*) FILTER (why = 'text') AS n_text, count(*) FILTER (why = 'lines') AS n_lines FROM y GROUP BY path""")
+def spliced_dialogues(spark, sf_dir):
+    rows = _dialogues(spark, sf_dir)
+    files = checkpointed(rows.select("path", F.concat(F.lit("title: n\n---\n"), F.array_join("x.l", "\n"), F.lit("\n===")).alias("text")))
+    units = rows.select("path", F.posexplode("x").alias("i", "p")).select("path", (F.col("i") + 3).alias("line"), F.concat("p.p_name", F.lit(" size")).alias("body"), (F.col("p.p_size") % 6).alias("k"))
+    body, k = F.col("body"), F.col("k")
+    target = F.when(k == 0, F.concat(F.lit("new // "), body)).when(k == 1, F.concat(body, F.lit("\nx"))).when(k == 2, F.concat(body, F.lit(" #tag"))).when(k == 3, "").otherwise(F.concat(body, F.lit("!")))
+    out, edits = splice.statements_back(files, units.withColumn("target", target))
+    told = edits.groupBy("path").agg(F.count_if(F.col("why") == "text").alias("n_text"), F.count_if(F.col("why") == "lines").alias("n_lines"))
+    return out.join(told, "path", "left").na.fill(0, ["n_text", "n_lines"])
+
+
+def _keyed(items: dict[int, str]) -> str:
+    """A stand-in for a service: it answers in upper case, but for batches whose first text is of an odd length, where it drops a number."""
+    out = {str(i): t.upper() for i, t in items.items()}
+    if len(items[1]) % 2:
+        out.pop(str(len(items)))
+    return "Here: " + json.dumps(out, ensure_ascii=False)
+
+
+@register("""WITH s AS (SELECT p_partkey AS seq, p_name || ' ' || p_size AS original FROM part), t AS (SELECT original, min(seq) AS f FROM s GROUP BY original),
+    r AS (SELECT original, row_number() OVER (ORDER BY f) - 1 AS r FROM t), b AS (SELECT *, r // 8 AS batch, first_value(original) OVER (PARTITION BY r // 8 ORDER BY r) AS head FROM r)
+    SELECT seq, original, upper(original) AS target, CASE WHEN length(head) % 2 = 1 THEN 'single' ELSE 'batched' END AS how FROM s JOIN b USING (original)""")
+def keyed_batches(spark, sf_dir):
+    units = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.col("p_partkey").alias("uid"), F.concat_ws(" ", "p_name", "p_size").alias("original"))
+    out, _ = batches.transform(units, _keyed, str.upper)
+    return out.select(F.col("uid").alias("seq"), "original", "target", "how")

@@ -7,12 +7,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from loomwork.operators import batches, splice
 from loomwork.sources import encodings, language_tables, string_tables
 
 from .test_engines import agrees
 
 
-@pytest.mark.parametrize("name", ["language_table_units", "string_table_entries", "string_table_refill", "claimed_tables", "encodings_by_trial", "language_gates"])
+@pytest.mark.parametrize("name", ["language_table_units", "string_table_entries", "string_table_refill", "claimed_tables", "encodings_by_trial", "language_gates", "spliced_dialogues", "keyed_batches"])
 def test_queries(spark, name):
     agrees(spark, name)
 
@@ -247,3 +248,91 @@ def test_encodings(spark, tmp_path):
     assert found["le"] == ("\r\n", True) and found["sjis"] == ("\n", True) and found["long"] == ("\n", False)
     kept = encodings.file_data(files, F.element_at(F.split("path", "/"), -1))
     assert {r.rel: bytes(r.data) for r in kept.collect()} == {k: v[0] for k, v in cases.items() if not v[1][3] and v[0]}
+
+
+# Splicing and batches
+
+
+def test_refused_edits(spark):
+    text = "title: a\r\n---\r\nBo: hi there #line:1\r\n  -> go on\r\nplain words\r\n[[open|n]]\r\n<<set $x>> =not\r\nBo: bye\n===\n"
+    files = spark.createDataFrame([("f", text, 1), ("g", None, 1), ("h", "no node", 1)], "path string, text string, n_replaced int")
+    edits = [
+        (3, "hi there", "salut"), (4, "go on", "a // b"), (5, "plain words", "Al: x"), (6, "open", "shut"), (7, "=not", "<<a>>"), (8, "bye", "x\n==="), (8, "bye", None), (9, "x", "y"), (3, "other", "no"), (8, "by", "no"),
+    ]
+    units = spark.createDataFrame([("f", *e) for e in edits] + [("g", 1, "x", "y")], "path string, line int, body string, target string")
+    out, told = splice.statements_back(files, units)
+    rows = {r.path: (r.text, r.n_replaced) for r in out.collect()}
+    why = {(r.line, r.target): r.why for r in told.filter("path = 'f'").collect()}
+    assert rows["f"] == (text.replace("hi there", "salut").replace("[[open", "[[shut"), 2) and rows["g"] == (None, 0) and rows["h"] == ("no node", 0)
+    assert why == {(3, "salut"): None, (4, "a // b"): "text", (5, "Al: x"): "speaker", (6, "shut"): None, (7, "<<a>>"): "gone", (8, "x\n==="): "lines", (9, "y"): "moved", (3, "no"): "moved", (8, "no"): "moved"}
+    bare = spark.createDataFrame([("b", "---\nwords\nmore\n===")], "path string, text string")
+    out, told = splice.statements_back(bare, spark.createDataFrame([("b", 2, "words", "=== x"), ("b", 3, "more", "-> y")], "path string, line int, body string, target string"))
+    assert {r.why for r in told.collect()} == {"structure", "form"} and out.first().text == "---\nwords\nmore\n==="
+
+
+@pytest.mark.parametrize(("reply", "n", "want"), [('{"1": "a", "2": "b"}', 2, ["a", "b"]), ('```json\n{"2": "b", "1": "a"}\n```', 2, ["a", "b"]), ('so {"1": "a"} yes', 1, ["a"]), ('{"1": "a"}', 2, None), ('{"1": "a", "3": "b"}', 2, None), ('{"1": 5}', 1, None), ('["a"]', 1, None), ("no", 1, None), (None, 1, None), ('{"1": "a", "2": "b"}', 1, None)])
+def test_reconciled(reply, n, want):
+    assert batches.reconciled(reply, n) == want
+
+
+def faulty(kind):
+    """A stand-in that fails by what it is asked, so that each run sees the same."""
+
+    def many(items):
+        first = items[1]
+        if "down" in first:
+            raise OSError("down")
+        out = {str(i): f"<{t}>" for i, t in items.items()}
+        if "shift" in first:
+            out = {str(i + 1): t for i, t in zip(items, out.values(), strict=True)}
+        if "leak" in first:
+            out["1"] = "好的，我将 x"
+        return "garbage" if "noise" in first else json.dumps(out)
+
+    def one(text):
+        if "dead" in text:
+            raise ValueError("dead")
+        return "" if "void" in text else f"[{text}]"
+
+    return many, one
+
+
+def test_batches(spark):
+    words = ["alpha", "down beta", "shift gamma", "leak delta", "noise eps", "dead zeta", "void eta", "theta"]
+    r = random.Random(6)
+    texts = [f"{r.choice(words)} {i % 37}" for i in range(150)] + ["はい", "", None, "12"]
+    rows = [(i, f"u{i}", t) for i, t in enumerate(texts)]
+    units = spark.createDataFrame(rows, "seq long, uid string, original string").repartition(5)
+    out, counts = batches.transform(units, *faulty(spark), script="kana", batch=4, retries=2)
+    got = {x.uid: (x.target, x.how) for x in out.collect()}
+    # A plain run over the same batches.
+    from loomwork.functions import text as T
+
+    skipped = {x.original for x in units.filter(T.should_skip(F.col("original"), "kana")).collect()}
+    order = list(dict.fromkeys(t for t in texts if t not in skipped))
+    many, one = faulty(spark)
+    want, n = {}, dict.fromkeys(["requests", "retried", "batched", "degraded", "failed", "unverified"], 0)
+
+    def tried(call, x):
+        for k in range(3):
+            n["requests"] += 1
+            n["retried"] += k > 0
+            try:
+                return call(x)
+            except (OSError, ValueError):
+                pass
+
+    for a in range(0, len(order), 4):
+        part = order[a : a + 4]
+        reply = batches.reconciled(tried(many, dict(enumerate(part, 1))), len(part))
+        good = reply is not None and "好的，我将 x" not in reply
+        n["batched" if good else "degraded"] += 1
+        for t, o in zip(part, reply if good else part, strict=True):
+            o = o if good else tried(one, t)
+            want[t] = (o or None, "failed" if not o else "batched" if good else "single")
+            n["failed"] += not o
+    assert {u: got[u] for _, u, t in rows if t not in skipped} == {u: want[t] for _, u, t in rows if t not in skipped}
+    assert all(got[u] == (None, "skipped") for _, u, t in rows if t in skipped)
+    assert counts.get == {"units": len(rows), "skipped": sum(t in skipped for t in texts), "unique": len(order), **n} and all(n[k] for k in n if k != "unverified")
+    none, counts = batches.transform(units.limit(0), many, one)
+    assert none.collect() == []
