@@ -282,8 +282,8 @@ def _around(near: DataFrame, threshold: float, block: int = 512, entries: int =
     return sent.repartition("head", "p", "q").groupBy("head", "p", "q").applyInArrow(left_open, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, weighting: str = "set", key: str = "doc_id", text: str = "text", crowd: int = 48, most: int = 500_000) -> DataFrame:
-    """Rows (key, class_id, kept, row_hash), one for each row of docs. class_id: the smallest key of the class; kept: whether the row has it. weighting: "set" or "count". most bounds the rows of a broadcast table; crowd is the size above which buckets are taken apart by rare shingles."""
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, weighting: str = "set", key: str = "doc_id", text: str = "text", crowd: int = 48, most: int = 500_000, sift: bool = True) -> DataFrame:
+    """Rows (key, class_id, kept, row_hash), one for each row of docs. class_id: the smallest key of the class; kept: whether the row has it. weighting: "set" or "count". sift: candidates whose sketches rule out the threshold but for a chance of 1e-8 aren't compared; False compares all. most bounds the rows of a broadcast table; crowd is the size above which buckets are taken apart by rare shingles."""
     said = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     found = checkpointed(sketches(said, size, weighting))
     nodes = checkpointed(found.groupBy("h1", "h2").agg(F.min("_id").alias("_id"), F.first("bands").alias("bands"), F.first("marks").alias("marks")).withColumn("node", F.monotonically_increasing_id()))
@@ -317,7 +317,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, weig
         inside = checkpointed(large.groupBy("node").agg(F.min("label").alias("label"), F.max("far").alias("far")))
         more, _ = _crossing(_rarest(inside, _texts(inside, said, nodes, size, weighting, most), size, threshold), None)
         pairs = pairs.union(more)
-    more = compare(checkpointed(_alike(pairs.distinct(), nodes, threshold))).filter(F.col("j") >= threshold).select("a", "b")
+    some = pairs.distinct()
+    more = compare(checkpointed(_alike(some, nodes, threshold) if sift else some)).filter(F.col("j") >= threshold).select("a", "b")
     if more.limit(1).count():
         labels = checkpointed(components(links.union(more).toDF("u", "v")))
 

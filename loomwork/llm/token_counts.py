@@ -7,7 +7,8 @@ a frequent word is a row or two of a task), which add up to a table of all; its
 text's frequencies are joined to it: those of the most frequent pre-tokens, as many as `frequent` and `frequent_bytes`
 allow, from a broadcast table, all others by a join on the pre-token, in which no key is hot as the hot ones are gone.
 Sums come back to a text by the number of its row. No ids leave the tokenizer. Pre-tokens of more than `longest` bytes
-are counted where they stand, so no key of a join is huge.
+are counted where they stand, so no key of a join is huge. The pieces of a sentencepiece model may cross white space, so
+with a .model file each text is counted whole.
 
 Null and empty texts have 0 bytes and 0 tokens. Every row is counted by itself, repeated rows alike; other
 columns are ignored whatever their names, an empty table gives no rows. Texts are never cut.
@@ -89,8 +90,23 @@ def _most_frequent(words: DataFrame, frequent: int, frequent_bytes: int) -> tupl
     return dict(zip(rows["word"].to_pylist(), rows["pieces"].to_pylist(), strict=True)), least
 
 
+def _whole(docs: DataFrame, path: str, limit: int, key: str, text: str) -> DataFrame:
+    """count_tokens() text by text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces_of = piece_counter(path)
+        for batch in batches:
+            for a, b, texts in slices(batch.column(1)):
+                n = pieces_of(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], [key, "n_bytes", "n_tokens", "over_limit"])
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, key: str = "doc_id", text: str = "text", frequent: int = 400_000, frequent_bytes: int = 1 << 23, table_size: int = 200_000, longest: int = 4096) -> DataFrame:
     """Rows (key, n_bytes, n_tokens, over_limit). path: a tokenizers file whose pre-tokens don't cross white space. frequent and frequent_bytes bound the broadcast table, table_size each task's table of frequencies."""
+    if path.endswith(".model"):
+        return _whole(docs, path, limit, key, text)
     words = checkpointed(_counted(checkpointed(_distinct(docs, text, table_size, longest)), path))
     shared = docs.sparkSession.sparkContext.broadcast(_most_frequent(words, frequent, frequent_bytes)[0])
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from loomwork.llm import language_id, queries, resampling, spelling
+from loomwork.llm import decontamination, language_id, near_dedup, pii, queries, resampling, spelling, toxicity, url_filter
 
 from .test_operators import EDGES, docs_of
 
@@ -218,3 +218,145 @@ def test_language(spark):
     assert {r.lang_pred for r in language_id.predict(docs_of(spark, texts), language_id.fit(empty)).collect()} == {"und"}
     unknown = docs_of(spark, texts).drop("lang").selectExpr("*", "cast(null as string) as lang")
     assert language_id.fit(unknown)["names"] == []
+
+
+# Earlier operators: what had no test over whole tables, and edges
+
+
+def test_token_counts_of_a_whole_table(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    model = Tokenizer.from_file(path)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op6_token_counts(spark, SF).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in rows} == {i: (len(t.encode()), len(model.encode(t, add_special_tokens=False))) for i, t in texts.items()}
+
+
+def test_edges_of_earlier_operators(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (2, None)], "page_id int, url string")
+    assert [(r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, []).orderBy("page_id").collect()] == [("a.org", "/x", None, "allow"), ("", "", None, "allow")]
+    docs, labels = docs_of(spark, EDGES), spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert toxicity.score(docs.limit(0), model).collect() == [] and {r.score for r in toxicity.score(docs, model).collect()} == {0.0}
+    phrases = spark.createDataFrame([("p", "red blue"), ("p", "red blue"), (None, "red"), ("n", None), ("e", "")], "item_id string, text string")
+    said = docs_of(spark, [(1, "red x blue"), (1, "red x blue"), (None, "red blue"), (3, None), (4, "")])
+    found = sorted(map(tuple, decontamination.near_phrases(said, phrases).select("_id", "item", "start", "end").collect()), key=str)
+    assert found == sorted([(1, "p", 0, 2), (1, None, 0, 0), (None, "p", 0, 1), (None, None, 0, 0)], key=str)
+    assert decontamination.near_phrases(said.limit(0), phrases).collect() == [] and decontamination.near_phrases(said, phrases.limit(0)).collect() == []
+
+
+def test_near_duplicates_without_sifting(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    a, b = ({r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs, sift=s).collect()} for s in (True, False))
+    assert a == b
+
+
+# 3 personal data: the whole bootstrapping in plain Python
+
+
+def plain_bootstrap(texts, support=5, confidence=0.8, rounds=4, cycles=3):
+    """Added (kind, start, end) of each text: contexts are strings, the graph is dictionaries, ordinary words are counted exactly."""
+    word = re.compile(r"[A-Za-z0-9._@+%\-\x80-\U0010ffff]+|[^ \t\n\x0b\x0c\r\x00A-Za-z0-9._@+%\-\x80-\U0010ffff]+")
+    low = lambda t: t.translate(LOWER)
+    docs = []
+    for t in texts:
+        tokens = [(m.start(), m.end(), low(m[0])) for m in word.finditer(t)]
+        sides = []
+        for i, (_, _, w) in enumerate(tokens):
+            at = lambda *k, i=i, tokens=tokens: tuple(tokens[i + j][2] for j in k) if all(0 <= i + j < len(tokens) for j in k) else None
+            begin = w[:4] if len(w.encode()) >= 8 and re.match("[a-z]{4}", w) else None
+            sides.append([(s, c) if c else None for s, c in enumerate([at(-2, -1), at(-1), at(-3, -2), at(1, 2), begin])])
+        docs.append((t, tokens, sides, pii.base_spans(t)))
+    seeds = {}
+    for t, tokens, sides, base in docs:
+        starts = [a for a, _, _ in tokens]
+        for k, a, b in base:
+            first, last = (starts.index(a) if a in starts else None), max(i for i, s in enumerate(starts) if s < b)
+            for c in [*(sides[first][:3] if first is not None else []), sides[last][3]]:
+                if c:
+                    seeds[c, low(t[a:b])] = max(k, seeds.get((c, low(t[a:b])), -1))
+        for i, (a, b, _) in enumerate(tokens):
+            if pii._random(t, a, b) and not any(s[1] < b and s[2] > a for s in base):
+                for c in sides[i]:
+                    if c:
+                        seeds[c, low(t[a:b].rstrip(".-_@+%"))] = 4
+    marks, looked, hits = set(seeds), set(), []
+    for _ in range(cycles):
+        n = Counter(c for c, _ in marks)
+        wanted = {c for c, k in n.items() if k >= support} - looked
+        if not wanted:
+            break
+        looked |= wanted
+        graph, plain, places = {}, {}, []
+        for d, (t, tokens, sides, base) in enumerate(docs):
+            for i, (a, b, w) in enumerate(tokens):
+                for c in sides[i]:
+                    if c not in looked or c is None:
+                        continue
+                    some = any(x in "0123456789@" for x in w) and re.match(r"[A-Za-z0-9._@+%\-\x80-\U0010ffff]", w)
+                    if some or (pii._LEAD.match(t, a)):
+                        if any(s[1] < b and s[2] > a for s in base):
+                            continue
+                        spans = pii.extents(t, a, b, base, c[0] == 3)
+                        ends = [x for x in spans if x[1]]
+                        if ends:
+                            inst = low(t[min(ends)[0] : max(x[1] for x in ends)])
+                            shaped = pii._mixed_up(t, a, b)
+                            graph[c, inst] = max(graph.get((c, inst), -9), -1 if shaped else -3)
+                            places.append((d, c, inst, spans, sides[i]))
+                            continue
+                    plain.setdefault(c, set()).add(w)
+        graph |= {(c, x): max(k, graph.get((c, x), -9)) for (c, x), k in seeds.items() if c in looked}
+        of = {}
+        for (c, x), k in graph.items():
+            of.setdefault(c, {})[x] = k
+        kept = {c for c in of if len(plain.get(c, ())) <= 4 * max(1, sum(k >= 0 for k in of[c].values()))}
+        guess, scores = {}, {}
+        for r in range(rounds + 1):
+            scores = {}
+            for c in kept:
+                for kind in {k for k in of[c].values() if k >= 0} | {k for x in of[c] for k in guess.get(x, {})}:
+                    mass = sum(k == kind for k in of[c].values()) + sum(guess.get(x, {}).get(kind, 0) for x, k in of[c].items() if k < 0)
+                    neutral = sum(1 - guess.get(x, {}).get(kind, 0) for x, k in of[c].items() if k == -1) if kind == 4 else 0
+                    scores[c, kind] = mass / (len(of[c]) + len(plain.get(c, ())) - neutral)
+            if r == rounds:
+                break
+            by = {}
+            for (c, x), k in graph.items():
+                for kind in range(5):
+                    if k < 0 and (c, kind) in scores:
+                        by.setdefault((x, kind), {}).setdefault(c[0], []).append(1 - scores[c, kind])
+            guess = {}
+            for (x, kind), each in by.items():
+                guess.setdefault(x, {})[kind] = max(1 - math.prod(max(1e-9, v) for v in side) for side in each.values())
+        best = {}
+        for (c, kind), s in scores.items():
+            if s >= confidence:
+                best[c] = max(best.get(c, (0, 0)), (s, -kind))
+        hits = [(d, -best[c][1], spans[-best[c][1]], best[c][0], inst, own) for d, c, inst, spans, own in places if c in best and spans[-best[c][1]][1]]
+        marks = set(seeds) | {(c, inst) for *_, inst, own in hits for c in own if c}
+    out = {}
+    for d, kind, (a, b), s, _, _ in hits:
+        out.setdefault((d, a), []).append(((s, -kind), kind, b))
+    added = [[] for _ in texts]
+    for (d, a), each in out.items():
+        _, kind, b = max(each)
+        added[d].append((kind, a, b))
+    return [sorted(x) for x in added]
+
+
+def test_bootstrap_is_the_plain_one(spark):
+    r = random.Random(8)
+    word = lambda: r.choice(["red", "green", "blue", "sea", "sky", "the", "of", "42"])
+    made = []
+    for i in range(240):
+        key = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20))
+        tail = ["call me at +44 20 %07d now" % r.randrange(10**7), "my cell is %03d 555 %04d ok" % (r.randrange(1000), r.randrange(10**4)), f'key = "{key}" ;', f"AKIA{key[:16].upper()} here", f"password={key[:18]}", "call me at noon", "my cell is dead"][i % 7]
+        made.append(" ".join([*(word() for _ in range(r.randint(2, 9))), tail, *(word() for _ in range(r.randint(2, 9)))]))
+    for texts in ([d.text or "" for d in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()], made + [made[0]] * 50 + ["", "a"]):
+        docs = docs_of(spark, list(enumerate(texts)))
+        got = {x._id: sorted((s.kind, s.start, s.end) for s in x.added) for x in pii.extract(docs).collect()}
+        assert got == dict(enumerate(plain_bootstrap(texts)))
+        assert sum(map(len, got.values())) > 10
