@@ -298,3 +298,14 @@ def unit_prompts(spark, sf_dir):
 @register("SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source")
 def table_bytes(spark, sf_dir):
     return projects.byte_sums(table(spark, sf_dir, "documents"), "source", "text")
+
+
+@register(r"""WITH t AS (SELECT conv_id, turn, role, text FROM conversations WHERE text IS NOT NULL),
+    n AS (SELECT *, CASE WHEN regexp_matches(text, '[\p{L}\p{N}]|[^\x{0}-\x{2e80}]') THEN '<' || text || '>' ELSE text END AS said FROM t)
+    SELECT 'data/Map' || conv_id || '.json' AS path, '{"events":[{"pages":{"list":[' || string_agg('{"code":401,"parameters":[' || CASE WHEN role <> 'system' THEN CAST(to_json('<' || role || '>') AS VARCHAR) || ',' ELSE '' END || CAST(to_json(said) AS VARCHAR) || ']}', ',' ORDER BY turn) || ']}}]}' AS text,
+        count(*) FILTER (said <> text) + count(*) FILTER (role <> 'system') AS n_replaced, true AS changed FROM n GROUP BY conv_id""")
+def event_write_back(spark, sf_dir):
+    """Every unit of the event lists in angle brackets, back in its command."""
+    files = _events(spark, sf_dir)
+    units = game_data.data_units(files).withColumn("target", F.concat(F.lit("<"), "original", F.lit(">")))
+    return game_data.data_back(files, units).withColumn("n_replaced", F.col("n_replaced").cast("long"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from loomwork.functions import text as T
+from loomwork.sources import json_places
 from loomwork.sources.scripts import lines
 
 # Files without texts; fields, lists and texts of objects; codes of event commands; what in scripts is for people.
@@ -212,3 +213,66 @@ def line_table(files: DataFrame) -> DataFrame:
     body = F.when(named, T.strip(F.regexp_extract("said", pair, 2))).otherwise(F.col("said"))
     rows = rows.select("path", "line", F.get("f", F.lit(0)).alias("code"), F.when(named, T.strip(F.regexp_extract("said", pair, 1))).otherwise("").alias("speaker"), body.alias("original"))
     return rows.filter(F.col("code").startswith("line:") & T.translatable(F.col("original")))
+
+
+def _command_way(place: list[str], ways: set) -> tuple[str, ...]:
+    """The way to the text of an event command's unit, in its parameters."""
+    for k in (len(place) - 1, len(place) - 2):
+        node, rest = tuple(place[:k]), place[k + 1 :]
+        if k >= 0 and (*node, "parameters") in ways and (*node, "code") in ways:
+            given = (*node, "parameters")
+            if place[k] == str(MESSAGE):
+                return (*given, "0") if rest == ["speaker"] or (*given, "1") not in ways else (*given, "1")
+            return (*given, "0", *rest) if place[k] == str(CHOICES) else (*given, "1")
+    return tuple(place)
+
+
+@F.pandas_udf(StructType().add("text", "string").add("n", "integer"))
+def _data_back(name: pd.Series, text: pd.Series, edits: pd.Series) -> pd.DataFrame:
+    def of(file: str, said: str | None, own) -> tuple[str | None, int]:
+        if said is None or own is None:
+            return said, 0
+        events = file.startswith(("CommonEvents", "Map"))
+        try:
+            json.loads(said)
+            ways = json_places.places(said)[2] if events else set()
+            return json_places.spliced(said, [(_command_way(list(e["place"]), ways) if events else tuple(e["place"]), False, e["original"], e["target"]) for e in own], 0)
+        except (ValueError, RecursionError):  # not what its name says: the file stays as it is
+            return said, 0
+
+    return pd.DataFrame([of(*x) for x in zip(name, text, edits, strict=True)], columns=["text", "n"])
+
+
+@F.pandas_udf(StructType().add("text", "string").add("n", "integer"))
+def _settings_back(text: pd.Series, edits: pd.Series) -> pd.DataFrame:
+    def of(said: str | None, own) -> tuple[str | None, int]:
+        m = re.search(r"var\s+\$plugins\s*=\s*", said or "")
+        if own is None or not m:
+            return said, 0
+        body = re.sub(r";?\s*$", "", said[m.end() :])
+        try:
+            plugins = json.loads(body)
+            names = [str(p.get("name") or "") if isinstance(p, dict) else None for p in plugins]
+            moved = [((str(i), "parameters", *e["place"][1:]), bool(e["as_key"]), e["original"], e["target"]) for e in own for i, n in enumerate(names) if n == e["place"][0]]
+            new, n = json_places.spliced(body, moved)
+        except (ValueError, RecursionError):  # as above
+            return said, 0
+        return said[: m.end()] + new + said[m.end() + len(body) :], n
+
+    return pd.DataFrame([of(*x) for x in zip(text, edits, strict=True)], columns=["text", "n"])
+
+
+def data_back(files: DataFrame, units: DataFrame) -> DataFrame:
+    """Rows (path, text, n_replaced, changed): data files and plug-in lists with the targets of units (path, place, original, target, as_key of plug-ins') where their originals stand.
+
+    Strings are replaced in the text itself: numbers, repeated keys, blanks and the order of keys stay. Targets inside
+    strings that hold JSON are written as JSON again, level by level. Units without a target, whose place is gone or
+    holds another text, are left out; a file's units meet it in one row, files without any stay as they are.
+    """
+    as_key = F.coalesce("as_key", F.lit(False)) if "as_key" in units.columns else F.lit(False)
+    edits = units.filter("target <> ''").groupBy("path").agg(F.collect_list(F.struct("place", as_key.alias("as_key"), "original", "target")).alias("_edits"))
+    rows = files.join(edits, "path", "left")
+    is_list = F.col("path").endswith("plugins.js")
+    x = F.when(is_list, _settings_back(F.when(is_list, F.col("text")), "_edits")).otherwise(_data_back(F.substring_index("path", "/", -1), F.when(~is_list, F.col("text")), "_edits"))
+    out = rows.withColumn("_x", x)
+    return out.select("path", F.col("_x.text").alias("text"), F.col("_x.n").alias("n_replaced"), (~F.col("_x.text").eqNullSafe(F.col("text"))).alias("changed"))

@@ -165,3 +165,37 @@ def test_counts_of_projects(spark):
     assert projects.batch_size(units) == 1 and projects.open_examples(units, "original", 1).first().original == "bb"
     got = units.limit(1).select(projects.token_difference(F.lit("【0】【1】【1】"), F.lit("【1】【2】")).alias("d")).first().d
     assert (got.missing, got.extra) == (["0"], ["2"])
+
+
+def test_game_data_back(spark):
+    import json
+
+    events = '{"b": 1e5, "events": [null, {"pages": [{"list": [{"code": 401, "parameters": ["Bo", "Hi"]}, {"code": 401, "parameters": ["Alone"]}, {"code": 102, "parameters": [["yes", "no", "yes"], 1]}, {"code": 402, "parameters": [0, "yes"]}, {"code": 101, "parameters": ["face"]}]}]}], "b": 2.50}'
+    items = '[null,\n  {"id": 1, "name": "Rope", "note": "Rope", "terms": {"basic": ["Lv", "\\u00e9"], "messages": {"hit": "%1 hit"}}}]'
+    nested = json.dumps({"遅い": -2, "k": json.dumps(["表示する", "a"], ensure_ascii=False)}, ensure_ascii=False)
+    plugins = f'// x\nvar $plugins =\n[{{"name":"P","status":true,"parameters":{{"a":{json.dumps(nested, ensure_ascii=False)},"b":"設定","n":"1e5"}}}}];\n'
+    files = frame(spark, [("data/Map1.json", events), ("data/Items.json", items), ("js/plugins.js", plugins), ("data/Bad.json", "{"), ("data/Null.json", None), ("data/MapInfos.json", '[{"name": "no"}]')])
+    data = game_data.data_units(files).select("path", "place", "original", F.lit(False).alias("as_key"))
+    units = data.union(game_data.plugin_settings(files.filter("path like '%.js'")).select("path", "place", "original", "as_key"))
+    rows = {r.path: r for r in game_data.data_back(files, units.withColumn("target", F.concat("original", F.lit('"\n')))).collect()}
+    want = events
+    for old in ("Bo", "Hi", "Alone", "yes", "no"):
+        want = want.replace(f'"{old}"', json.dumps(old + '"\n'))
+    assert (rows["data/Map1.json"].text, rows["data/Map1.json"].n_replaced) == (want, 7)
+    assert json.loads(rows["data/Items.json"].text)[1] == {"id": 1, "name": 'Rope"\n', "note": "Rope", "terms": {"basic": ['Lv"\n', 'é"\n'], "messages": {"hit": '%1 hit"\n'}}}
+    new = rows["js/plugins.js"].text
+    assert new.startswith("// x\nvar $plugins =\n[") and new.endswith("];\n") and rows["js/plugins.js"].n_replaced == 3
+    given = json.loads(new[new.index("[") : -2])[0]["parameters"]
+    inner = json.loads(given["a"])
+    assert (given["b"], given["n"], inner['遅い"\n'], json.loads(inner["k"])) == ('設定"\n', "1e5", -2, ['表示する"\n', "a"])
+    assert {p: (r.text, r.n_replaced, r.changed) for p, r in rows.items() if p in ("data/Bad.json", "data/Null.json")} == {"data/Bad.json": ("{", 0, False), "data/Null.json": (None, 0, False)}
+    same = {r.path: (r.n_replaced, r.changed) for r in game_data.data_back(files, units.withColumn("target", F.col("original"))).collect()}
+    assert same["data/Map1.json"] == (7, False) and same["js/plugins.js"][1] is False
+    moved = game_data.data_back(files, units.withColumn("original", F.lit("other")).withColumn("target", F.lit("x"))).collect()
+    assert not any(r.changed or r.n_replaced for r in moved)
+
+
+def test_event_write_back_query(spark):
+    from .test_engines import agrees
+
+    agrees(spark, "event_write_back")
