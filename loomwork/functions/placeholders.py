@@ -25,6 +25,8 @@ PATTERNS = {
     "double angle": r"<<.*?>>",
     "double bracket": r"\[\[[^\]]+\]\]",
 }
+#: Signs of which each of these strings holds one; most texts have none.
+SIGNS = r"[\[\\#{%<$]"
 OPEN, CLOSE = "【", "】"
 NUMBER = f"{OPEN}[0-9]+{CLOSE}"
 _NUMBER = re.compile(f"{OPEN}([0-9]+){CLOSE}")
@@ -59,11 +61,16 @@ def taken_out(text: str, patterns: list[re.Pattern]) -> tuple[str, list[str]]:
     return text, parts
 
 
+def has_protected(text: Column) -> Column:
+    """Whether a text holds any protected string; null texts hold none."""
+    return F.coalesce(text.rlike(SIGNS) & text.rlike("|".join(f"(?:{p})" for p in PATTERNS.values())), F.lit(False))
+
+
 def protect(df: DataFrame, text: str, patterns: list[str] | None = None) -> DataFrame:
     """df with protected (text with numbers) and parts (what they stand for); null texts are empty. Parts hold no numbers of other parts.
 
     The patterns build on each other's results, so that as columns each would nest in the next; a batch of texts goes
-    through them in one call instead. Nothing is shuffled.
+    through them in one call instead; texts without any of the patterns' signs don't go there. Nothing is shuffled.
     """
     chosen = patterns or list(PATTERNS.values())
 
@@ -72,8 +79,10 @@ def protect(df: DataFrame, text: str, patterns: list[str] | None = None) -> Data
         return pd.DataFrame([taken_out(t or "", compiled) for t in texts], columns=["protected", "parts"])
 
     kind = StructType().add("protected", "string").add("parts", ArrayType(StringType()))
-    out = df.withColumn("_taken", F.pandas_udf(run, kind)(F.col(text)))
-    return out.withColumns({"protected": F.col("_taken.protected"), "parts": F.col("_taken.parts")}).drop("_taken")
+    some = F.coalesce(F.col(text).rlike(SIGNS), F.lit(False)) if patterns is None else F.lit(True)
+    out = df.withColumn("_taken", F.pandas_udf(run, kind)(F.when(some, F.col(text))))
+    none = F.array().cast("array<string>")
+    return out.withColumns({"protected": F.when(some, F.col("_taken.protected")).otherwise(F.coalesce(F.col(text), F.lit(""))), "parts": F.when(some, F.col("_taken.parts")).otherwise(none)}).drop("_taken")
 
 
 def restore(text: Column, parts: Column) -> Column:

@@ -27,6 +27,7 @@ def test_placeholders(spark):
     for r in rows:
         assert (r.protected, r.parts) == brute(r.x or ""), r.x
         assert "【" in (r.x or "") or r.back == (r.x or "")
+    assert [r[0] for r in df.orderBy("i").select(placeholders.has_protected(F.col("x"))).collect()] == [any(re.search(p, x or "") for p in placeholders.PATTERNS.values()) for x in TEXTS]
     moved = spark.createDataFrame([("(1) [0] 【 1 】【7】 [00]", ["a", "【0】"])], "t string, p array<string>")
     assert moved.select(placeholders.restore(F.col("t"), F.col("p"))).first()[0] == "【0】 a 【0】【7】 [00]"
 
