@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.operators import ordered
+
 
 def latest(journal: DataFrame) -> DataFrame:
     """Rows (uid, t, uv): the last entry of each uid by seq of those with a text. An aggregate, combined before the shuffle."""
@@ -104,3 +106,38 @@ def match_gate(imported: DataFrame, least: float = 0.05) -> DataFrame:
     counts = imported.agg(F.count("*").alias("total"), of("uid").alias("by_uid"), of("memory").alias("by_memory"), of("missed").alias("missed"))
     ratio = (F.col("by_uid") + F.col("by_memory")) / F.greatest(F.lit(1), F.col("total"))
     return counts.withColumn("ratio", ratio).withColumn("fits", (F.col("ratio") > 0) & ((F.col("by_uid") > 0) | (F.col("ratio") >= least)))
+
+
+#: Verdicts, the best last.
+VERDICTS = ["mismatch", "unknown", "partial", "match"]
+
+
+def ranked_packages(names: dict[str, list[str]], packages: DataFrame, local: str | None = None) -> DataFrame:
+    """Rows (place, package, verdict, shared, error) of all packages for one game, places from 0: by verdict, then the newest first (created, then name), after the game's own texts if it has any (local: their name).
+
+    names has the game's names by class, packages (package, created, error, names by class). match: all classes that both
+    have share a name, which `shared` lists; partial: some do; mismatch: none; unknown: there are no such classes, or the
+    package has an error. One scan; the places come from a range partitioning, so no task sees all packages.
+    """
+    own = {c: [n.lower() for n in names.get(c) or []] for c in CLASSES}
+    has = {c: F.coalesce(F.size(c) > 0, F.lit(False)) for c in CLASSES if own[c]}
+    hit = {c: has[c] & F.coalesce(F.arrays_overlap(F.transform(c, F.lower), F.array(*map(F.lit, own[c]))), F.lit(False)) for c in has}
+    none = F.array().cast("array<string>")
+    shared = F.filter(F.array(*[F.when(hit[c], F.lit(c)) for c in hit]), lambda x: x.isNotNull()) if hit else none
+    both = sum((has[c].cast("int") for c in has), F.lit(0))
+    broken = F.coalesce(F.col("error"), F.lit("")) != ""
+    verdict = F.when(broken | (both == 0), "unknown").when(F.size("shared") == both, "match").when(F.size("shared") > 0, "partial").otherwise("mismatch")
+    rows = packages.withColumn("shared", shared).withColumn("verdict", verdict)
+    rows = rows.select("package", "created", "verdict", "shared", F.coalesce("error", F.lit("")).alias("error"), F.array_position(F.array(*map(F.lit, VERDICTS)), F.col("verdict")).alias("weight"))
+    rows = rows.withColumn("_key", F.struct("weight", "created", "package"))
+    n, first = rows.count(), int(local is not None)
+    out = ordered.global_rank(rows, "_key").select((n - 1 + first - F.col("rank")).cast("long").alias("place"), "package", "verdict", "shared", "error")
+    if local is None:
+        return out
+    mine = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("place"), F.lit(local).alias("package"), F.lit("match").alias("verdict"), none.alias("shared"), F.lit("").alias("error"))
+    return mine.union(out)
+
+
+def default_place(ranked: DataFrame) -> int | None:
+    """The place of the first package without an error that matches, whole or in part; none else."""
+    return ranked.filter(F.col("verdict").isin("match", "partial") & (F.col("error") == "")).agg(F.min("place")).first()[0]

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
-from loomwork.operators import batches, splice
+from loomwork.operators import batches, reconcile, splice
 from loomwork.plans.queries import _STRIP, register, table
 from loomwork.sources import encodings, language_tables, string_tables
 from loomwork.tables import checkpointed
@@ -150,3 +150,15 @@ def keyed_batches(spark, sf_dir):
     units = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.col("p_partkey").alias("uid"), F.concat_ws(" ", "p_name", "p_size").alias("original"))
     out, _ = batches.transform(units, _keyed, str.upper)
     return out.select(F.col("uid").alias("seq"), "original", "target", "how")
+
+
+@register("""WITH p AS (SELECT c_name AS package, c_acctbal AS created, CASE WHEN c_acctbal < 0 THEN 'broken' ELSE '' END AS error, c_nationkey < 12 AS has_exe, c_nationkey IN (3, 7) AS exe, c_mktsegment IN ('BUILDING', 'MACHINERY') AS dirs FROM customer),
+    v AS (SELECT *, CASE WHEN error <> '' THEN 'unknown' WHEN dirs AND (exe OR NOT has_exe) THEN 'match' WHEN dirs OR exe THEN 'partial' ELSE 'mismatch' END AS verdict FROM p),
+    r AS (SELECT *, row_number() OVER (ORDER BY CASE verdict WHEN 'match' THEN 0 WHEN 'partial' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END, created DESC, package COLLATE "C" DESC) AS place FROM v)
+    SELECT place, package, verdict, concat_ws(',', CASE WHEN exe THEN 'exe' END, CASE WHEN dirs THEN 'dirs' END) AS shared, error FROM r UNION ALL SELECT 0, 'own', 'match', '', ''""")
+def packages_ranked(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    none = F.array().cast("array<string>")
+    packages = c.select(F.col("c_name").alias("package"), F.col("c_acctbal").alias("created"), F.when(F.col("c_acctbal") < 0, "broken").alias("error"), F.when(F.col("c_nationkey") < 12, F.array(F.concat(F.lit("N"), "c_nationkey"), F.lit("x.exe"))).alias("exe"), none.alias("data_dirs"), none.alias("packs"), F.array(F.lower("c_mktsegment")).alias("dirs"))
+    out = reconcile.ranked_packages({"exe": ["n3", "N7"], "packs": ["a"], "dirs": ["BUILDING", "Machinery"]}, packages, "own")
+    return out.withColumn("shared", F.array_join("shared", ","))

@@ -7,13 +7,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.operators import batches, splice
+from loomwork.operators import batches, reconcile, splice
 from loomwork.sources import encodings, language_tables, string_tables
 
 from .test_engines import agrees
 
 
-@pytest.mark.parametrize("name", ["language_table_units", "string_table_entries", "string_table_refill", "claimed_tables", "encodings_by_trial", "language_gates", "spliced_dialogues", "keyed_batches"])
+@pytest.mark.parametrize("name", ["language_table_units", "string_table_entries", "string_table_refill", "claimed_tables", "encodings_by_trial", "language_gates", "spliced_dialogues", "keyed_batches", "packages_ranked"])
 def test_queries(spark, name):
     agrees(spark, name)
 
@@ -336,3 +336,15 @@ def test_batches(spark):
     assert counts.get == {"units": len(rows), "skipped": sum(t in skipped for t in texts), "unique": len(order), **n} and all(n[k] for k in n if k != "unverified")
     none, counts = batches.transform(units.limit(0), many, one)
     assert none.collect() == []
+
+
+def test_ranked_packages(spark):
+    kinds = "package string, created int, error string, exe array<string>, data_dirs array<string>, packs array<string>, dirs array<string>"
+    rows = [("a", 1, None, ["G.exe"], None, [], None), ("b", 2, None, ["g.EXE"], ["other"], None, None), ("c", 2, "", ["no"], None, None, None), ("d", 3, "bad", ["g.exe"], None, None, None), ("e", 3, None, None, None, None, ["x"]), ("f", 1, None, ["g.exe"], None, None, None)]
+    df = spark.createDataFrame(rows, kinds)
+    found = reconcile.ranked_packages({"exe": ["g.exe"], "data_dirs": ["d"]}, df)
+    assert [(r.place, r.package, r.verdict) for r in found.orderBy("place").collect()] == [(0, "f", "match"), (1, "a", "match"), (2, "b", "partial"), (3, "e", "unknown"), (4, "d", "unknown"), (5, "c", "mismatch")]
+    assert reconcile.default_place(found) == 0
+    assert reconcile.default_place(reconcile.ranked_packages({}, df)) is None
+    mine = reconcile.ranked_packages({"exe": ["none"]}, df.limit(0), "own")
+    assert [tuple(r) for r in mine.collect()] == [(0, "own", "match", [], "")] and reconcile.default_place(mine) == 0
