@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: a text is toxic if any of its sentences is.
 
-A sentence's probability is the logistic of the summed weights of its words, of their beginnings, and of beginnings that
-the text has had before; a text's is the noisy-or of its sentences. What a sentence holds several times counts once. The weights are trained from labels of texts alone, by the gradient of the texts' likelihood, on a
+A sentence's probability is the logistic of the summed weights of its words, of their beginnings, and of beginnings with
+which another word of the text has begun before; a text's is the noisy-or of its sentences. What a sentence holds several times counts once. The weights are trained from labels of texts alone, by the gradient of the texts' likelihood, on a
 bounded sample of labelled texts; the sentences that raise a text's score are then located by their own
 probability. Scoring is a scan: nothing is shuffled.
 
@@ -50,7 +50,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     for n in PREFIXES:  # words alike but for their endings share these
         longer = np.flatnonzero(ends - starts > n)
         h = span_hashes(low, starts[longer], starts[longer] + n)
-        again = _repeats(text[sentence[longer]], h)  # a text's second such word tells more than its first
+        again = _further(text[sentence[longer]], h, words[0][longer])  # a text's further words of one beginning tell more than its first
         words += [h, mixed(h[again] + np.uint64(1))]
         owners += [sentence[longer], sentence[longer][again]]
     # A feature counts once in a sentence, however often a word is repeated there.
@@ -58,12 +58,13 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return (once % FEATURES).astype(np.int32), (once // FEATURES).astype(np.int32), text, begin - first[text], stops[used] - first[text] if len(used) else begin
 
 
-def _repeats(text: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which of the hashes stand in their text for the second time or later."""
+def _further(text: np.ndarray, h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Which of the hashes of beginnings are those of another word than the first one in their text that begins so."""
     order = np.lexsort((np.arange(len(h)), h, text))
-    again = np.zeros(len(h), bool)
-    again[1:] = (h[order][1:] == h[order][:-1]) & (text[order][1:] == text[order][:-1])
-    return order[again]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    return order[word[order] != word[order][first]]
 
 
 def _chances(weights: np.ndarray, bias: float, words: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
