@@ -15,9 +15,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from loomwork.functions import placeholders
 from loomwork.functions import text as T
@@ -64,17 +67,20 @@ def emitted(text: Column, raw: Column) -> Column:
     return F.when(~raw.startswith('"') & ~text.rlike(BARE_ENDS), text).otherwise(F.concat(F.lit('"'), out, F.lit('"')))
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _starts(pieces: pd.Series, raws: pd.Series) -> pd.Series:
+    """Where values start, of the lengths of the pieces between them (one more) and their own."""
+    return pd.Series([None if p is None or r is None else np.cumsum(p[: len(r)]) + np.cumsum(r) - r for p, r in zip(pieces, raws, strict=True)], dtype=object)
+
+
 def entries(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """Rows (key, n, name, raw, value, speaker, start, end) of tables (key, text): their entries from 0 with the places of their raw values. Texts that don't begin as a table have none."""
     said = F.col(text)
     group = lambda i: F.regexp_extract_all(said, F.lit(ENTRY), F.lit(i))
     rows = files.filter(T.strip(said).startswith(HEAD) & ~said.contains(MARK))
     rows = rows.select(F.col(key).alias("key"), F.split(F.regexp_replace(said, ENTRY, f"$1{MARK}"), MARK, -1).alias("pieces"), group(2).alias("names"), group(3).alias("raws"), group(4).alias("speakers"))
-    sizes = F.aggregate(
-        F.zip_with("pieces", "raws", lambda p, r: F.struct(F.length(p).alias("p"), F.length(r).alias("r"))), F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at")),
-        lambda acc, x: F.struct(F.array_append(acc["starts"], acc["at"] + x["p"]).alias("starts"), (acc["at"] + x["p"] + F.coalesce(x["r"], F.lit(0))).alias("at")), lambda acc: acc["starts"],
-    )
-    rows = rows.withColumn("starts", sizes).select("key", F.posexplode(F.arrays_zip("names", "raws", "speakers", F.slice("starts", F.lit(1), F.size("names")).alias("starts"))).alias("n", "x"))
+    starts = _starts(F.transform("pieces", F.length), F.transform("raws", F.length))
+    rows = rows.withColumn("starts", starts).select("key", F.posexplode(F.arrays_zip("names", "raws", "speakers", "starts")).alias("n", "x"))
     speaker = F.regexp_replace(T.strip(F.coalesce(F.col("x.speakers"), F.lit(""))), '^"+|"+$', "")
     return rows.select("key", "n", F.col("x.names").alias("name"), F.col("x.raws").alias("raw"), unescaped(F.col("x.raws")).alias("value"), speaker.alias("speaker"), F.col("x.starts").alias("start"), (F.col("x.starts") + F.length("x.raws")).alias("end"))
 
@@ -96,12 +102,14 @@ def protected(rows: DataFrame, text: str) -> DataFrame:
 
 def without_stray_brackets(new: Column, old: Column) -> Column:
     """new without the brackets that it has more of than old, each kind from the last one on."""
-    for sign in "{}[]":
-        more = F.length(F.regexp_replace(new, rf"[^\{sign}]", "")) - F.length(F.regexp_replace(old, rf"[^\{sign}]", ""))
-        kept = F.size(F.split(new, rf"\{sign}", -1)) - 1 - F.greatest(more, F.lit(0))
-        parts = F.split(new, rf"\{sign}", -1)
-        new = F.when(more > 0, F.concat(F.array_join(F.slice(parts, F.lit(1), kept + 1), sign), F.array_join(F.slice(parts, kept + 2, F.size(parts)), ""))).otherwise(new)
-    return new
+
+    def bounded(said: Column, sign: Column) -> Column:
+        held = F.coalesce(F.length(old) - F.length(F.replace(old, sign, F.lit(""))), F.length(said))
+        head = F.call_function("substring_index", said, sign, held + 1)
+        return F.concat(head, F.replace(F.substr(said, F.length(head) + 1), sign, F.lit("")))
+
+    # A fold, not one column inside the next: each names its text several times, so that four of them would hold it thousands of times.
+    return F.aggregate(F.array(*map(F.lit, "{}[]")), new, bounded)
 
 
 def narrowed(text: Column, steps: int) -> Column:
@@ -169,11 +177,11 @@ def refilled(files: DataFrame, units: DataFrame, budgets: DataFrame | None = Non
     sizes = files.select(F.col(key).alias("key"), F.octet_length(text).cast("long").alias("size"))
     budgets = sizes.withColumn("budget", F.lit(None).cast("long")) if budgets is None else sizes.join(budgets.select(F.col(key).alias("key"), F.col("budget").cast("long").alias("budget")), "key", "left")
     done = checkpointed(fitted(checkpointed(new), budgets))
-    put = done.filter("not dropped").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("n", "raw_new"))).alias("put"), F.count("*").alias("n_replaced"))
+    made = found.select("key", "n", "raw").join(done.filter("not dropped").select("key", "n", "raw_new"), ["key", "n"], "left")
+    put = made.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", F.coalesce("raw_new", "raw").alias("v")))).alias("put"), F.count("raw_new").alias("n_replaced")).filter("n_replaced > 0")
     told = done.groupBy("key").agg(F.max("step").alias("step"), F.count_if("dropped").alias("n_dropped"))
     said = F.col(text)
     rows = files.join(told.join(put, "key", "left"), F.col(key) == F.col("key"), "left")
-    pieces, raws = F.split(F.regexp_replace(said, ENTRY, f"$1{MARK}"), MARK, -1), F.regexp_extract_all(said, F.lit(ENTRY), F.lit(3))
-    values = F.transform(raws, lambda r, i: F.coalesce(F.col("put")[i], r))
-    whole = F.array_join(F.zip_with(pieces, values, lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
+    pieces = F.split(F.regexp_replace(said, ENTRY, f"$1{MARK}"), MARK, -1)
+    whole = F.array_join(F.zip_with(pieces, "put.v", lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
     return rows.select(key, F.when(F.col("put").isNull(), said).otherwise(whole).alias("text"), F.coalesce("n_replaced", F.lit(0)).alias("n_replaced"), F.coalesce("step", F.lit(0)).alias("step"), F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"))

@@ -193,6 +193,14 @@ def test_refilled(spark):
     assert len({x[2] for x in want.values()}) == 4 and any(x[3] for x in want.values())
 
 
+def test_stray_brackets_stay_one_column(spark):
+    rows = [("a{b}{c}]", "{x}"), ("{[}]", ""), ("plain", "{"), ("]]漢[[", "[]")]
+    out = string_tables.without_stray_brackets(F.col("new"), F.col("old"))
+    got = [r[0] for r in spark.createDataFrame(rows, "new string, old string").select(out).collect()]
+    assert got == ["a{b}c", "", "plain", "]漢["]
+    assert len(str(out)) < 5000  # nested, it held its text thousands of times, which the driver couldn't plan
+
+
 def test_table_units(spark):
     text = 'StringTable{CMAP1=LineCodeData{Text=abc;};A=LineCodeData{Text="Press /BUTTON_A/ {0}";Character=Text;};B=LineCodeData{Text=12;};C=LineCodeData{Text=Hi;Character=Bo;};}'
     df = spark.createDataFrame([("stringtable/x_usenglish", text), ("stringtable/x_german_english", text), ("stringtable/x", text)], "path string, text string")
