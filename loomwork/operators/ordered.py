@@ -6,14 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomwork.tables import checkpointed
+
 
 def global_rank(df: DataFrame, key: str) -> DataFrame:
-    """df with rank (from 0) by key: a range partitioning, ranks inside the parts and the parts' sizes added up, so that no task sees all rows."""
-    parts = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, key).withColumn("_part", F.spark_partition_id())
-    inside = parts.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1)
+    """df with rank (from 0) by key: a range partitioning, ranks inside the parts and the parts' sizes added up, so that no task sees all rows.
+
+    The sorted parts are written and read again: where they end is sampled anew each time they are made, so that sizes
+    and ranks of two runs don't fit together.
+    """
+    parts = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, key).sortWithinPartitions(key)
+    # An id is the part's number above 33 bits of the row's place in it.
+    placed = checkpointed(parts.withColumn("_id", F.monotonically_increasing_id()))
+    inside = placed.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)})
     sizes = inside.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_offset"))
-    return inside.join(F.broadcast(offsets), "_part").withColumn("rank", F.col("_offset") + F.col("_at")).drop("_part", "_at", "_offset")
+    return inside.join(F.broadcast(offsets), "_part").withColumn("rank", F.col("_offset") + F.col("_at")).drop("_id", "_part", "_at", "_offset")
 
 
 def sample_stride(df: DataFrame, key: str, rate: float) -> DataFrame:

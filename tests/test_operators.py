@@ -106,3 +106,10 @@ def test_every_own_query_runs(spark):
     own = [n for n in __spark_entry__.queries() if not n.startswith("op") and n != "pipeline"]
     assert len(own) > 20
     assert __spark_entry__.entry(spark).agg(F.sum("n")).first()[0] > 0
+
+
+def test_ranks_are_dense_where_ranges_are_sampled(spark):
+    rows = spark.range(60_000, numPartitions=4).select("id", F.xxhash64("id").alias("k"), F.concat(F.lit("x"), "id").alias("text"))
+    got = [(r.rank, r.k) for r in ordered.global_rank(rows, "k").filter("text <> ''").select("rank", "k").orderBy("rank").collect()]
+    assert [n for n, _ in got] == list(range(60_000)) and got == sorted(got, key=lambda x: x[1])
+    assert ordered.global_rank(rows.limit(0), "k").collect() == []
