@@ -25,7 +25,8 @@ def _said(*parts) -> F.Column:
 
 
 def _files(rows: DataFrame, texts: dict) -> DataFrame:
-    """Several files of each row, by suffix: one generator over one scan."""
+    """Several files of each row, by suffix: one generator over one scan. Rows are dealt out first: a table of a few MB is read in as few tasks, however many files it makes."""
+    rows = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "k")
     path = lambda suffix: F.concat(F.lit("d/"), F.col("k").cast("string"), F.lit(suffix)).alias("path")
     return rows.select(F.inline(F.array(*[F.struct(path(suffix), text.alias("text")) for suffix, text in texts.items()])))
 

@@ -10,6 +10,7 @@ import csv
 import io
 import json
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,11 +110,17 @@ def line_units(files: DataFrame) -> DataFrame:
     return flat.union(tags).select("path", "form", "line", "x.start", "x.original")
 
 
-def _dialect(path: str, text: str):
+@lru_cache(1024)
+def _sniffed(begins: str):
+    """A table's dialect by its beginning, None if it can't be told. Kept, as writing a file asks again."""
     try:
-        return csv.Sniffer().sniff(text[:4096], delimiters=",\t;")
+        return csv.Sniffer().sniff(begins, delimiters=",\t;")
     except csv.Error:
-        return csv.excel_tab if path.lower().endswith(".tsv") else csv.excel
+        return None
+
+
+def _dialect(path: str, text: str):
+    return _sniffed(text[:4096]) or (csv.excel_tab if path.lower().endswith(".tsv") else csv.excel)
 
 
 def _rows(path: str, text: str) -> list[list[str]]:

@@ -199,3 +199,12 @@ def test_event_write_back_query(spark):
     from .test_engines import agrees
 
     agrees(spark, "event_write_back")
+
+
+def test_rows_are_dealt_out_before_they_make_files(spark):
+    from loomwork.plans import files as plans
+
+    few = spark.range(40).coalesce(1).select(F.col("id").alias("k"), F.lit("a").alias("p_name"))
+    made = plans._files(few, {".txt": F.col("p_name"), ".md": F.col("p_name")})
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and made.count() == 80
+    assert made.select(F.spark_partition_id()).distinct().count() > 4
