@@ -10,6 +10,7 @@ from loomwork import registry
 from loomwork.functions import text as T
 from loomwork.operators import audit, ordered, reconcile, terms
 from loomwork.sources import text as sources
+from loomwork.tables import small_batches
 
 GLOSSARY = [(0, "the", "la"), (1, "tion", "ung"), (2, "and", "und"), (3, "ing", "er"), (4, "heit", "tion"), (5, "eau", "ou"), (6, "en", "an")]
 CJK_LINES = ["ギルドにようこそ。", "ギルドに行こう。", "剣を持て、勇者", "はい", "公会接待处", "薬草です"]
@@ -41,6 +42,7 @@ _AUDIT = f"""stripped AS (SELECT uid, {_STRIP('original')} AS src, {_STRIP('targ
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -20,6 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared}/{context.applicationId}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Lets Spark hand rows to Python in batches of `size`, where the session has its default of 64 MB: as objects a batch takes many times its bytes, in each of an executor's workers."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, size)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)

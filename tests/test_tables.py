@@ -356,3 +356,13 @@ def test_ranked_packages(spark):
     assert reconcile.default_place(reconcile.ranked_packages({}, df)) is None
     mine = reconcile.ranked_packages({"exe": ["none"]}, df.limit(0), "own")
     assert [tuple(r) for r in mine.collect()] == [(0, "own", "match", [], "")] and reconcile.default_place(mine) == 0
+
+
+def test_python_gets_small_batches(spark):
+    from loomwork.plans.queries import table
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b")  # the default, which other tests may have lowered
+    table(spark, "/root/testdata/sf0.001", "part")
+    rows = spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    sizes = [r[0] for r in rows.mapInPandas(lambda frames: (f.assign(n=len(f))[["n"]] for f in frames), "n int").collect()]
+    assert len(sizes) == 40 and max(sizes) <= 9
