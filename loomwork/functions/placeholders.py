@@ -86,5 +86,5 @@ def protect(df: DataFrame, text: str, patterns: list[str] | None = None) -> Data
 
 
 def restore(text: Column, parts: Column) -> Column:
-    """text with the parts put back, also where a number's brackets have been changed; unknown numbers stay."""
-    return _filled(text, VARIANT, parts)
+    """text with the parts put back, also where a number's brackets have been changed; unknown numbers stay. Texts without parts, which most are, aren't looked through."""
+    return F.when(F.coalesce(F.size(parts), F.lit(0)) > 0, _filled(text, VARIANT, parts)).otherwise(text)
